@@ -113,7 +113,7 @@ def posterior(votes: tuple[int, ...], prior: float, probs: list) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
-def judged(features: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judged(features: DataFrame, threshold: float = 0.3) -> DataFrame:
     """features (counts(), stashed by the caller) with the votes, base_failed, p_good and kept."""
     names = [f"vote_{r[0]}" for r in RULES]
     voted = features.select("*", *vote_columns())
