@@ -29,6 +29,10 @@ BROADCAST_IDS = 1_000_000
 PLACE = 2147483648
 
 
+def hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line and, for lines that take part, two hashes of the line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -38,14 +42,14 @@ def hashed(lines: DataFrame, min_chars: int) -> DataFrame:
     place = F.coalesce(F.col("doc_id"), F.lit(9223372036854775807)).cast("decimal(20,0)") * PLACE + F.col("line_no")
     long_enough = F.length("line") >= min_chars
     some = F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    return lines.select("*", (long_enough & some).alias("takes_part"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), place.cast("decimal(32,0)").alias("place"))
+    return lines.select("*", (long_enough & some).alias("takes_part"), *hashes(), place.cast("decimal(32,0)").alias("place"))
 
 
-def signature(line: Column) -> Column:
+def signature(line: Column, n: Column) -> Column:
     """Ten letter counts modulo 64, in six bits each."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(63)).cast("long"), 6 * k))
+        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(63)).cast("long"), 6 * k))
     return out
 
 
@@ -57,7 +61,7 @@ def near_signatures(a: str, b: str, edits: int) -> str:
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i (from 0) of a line: the last ones are one longer if it doesn't divide."""
-    base, more = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
+    base, more = F.call_function("div", length, F.lit(edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
     before = F.greatest(F.lit(0), more - (edits + 1 - i))
     return base * i + before, base + (F.lit(edits + 1 - i) <= more).cast("int")
 
@@ -70,12 +74,14 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
 def keyed(distinct: DataFrame, edits: int, min_chars: int, probe: bool) -> DataFrame:
     """key, id, sig (its upper four bits: how much shorter the lines are that the row probes)."""
     n, out = F.col("n"), []
-    for d, i, s in windows(edits) if probe else [(0, i, 0) for i in range(edits + 1)]:
+    places = windows(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
+    for d, i, s in places:
         start, size = segment(n - d, i, edits)
         fits = (n - d >= min_chars) & (start + s >= 0) & (start + s + size <= n)
-        out.append(F.when(fits, F.struct(F.xxhash64(F.substring("line", start + s + 1, size), n - d, F.lit(i)).alias("key"), F.lit(d).alias("d"))))
-    rows = distinct.select("id", "sig", F.explode(F.array(*out)).alias("e")).where("e is not null")
-    return rows.select("e.key", "id", F.col("sig").bitwiseOR(F.shiftleft(F.col("e.d").cast("long"), 60)).alias("sig"))
+        out.append(F.when(fits, F.xxhash64(F.substring("line", start + s + 1, size), n - d, F.lit(i))))
+    rows = distinct.select("id", "sig", F.posexplode(F.array(*out)).alias("k", "key")).where("key is not null")
+    shorter = F.element_at(F.array(*[F.lit(d << 60) for d, _, _ in places]), F.col("k") + 1)
+    return rows.select("key", "id", F.col("sig").bitwiseOR(shorter.cast("long")).alias("sig"))
 
 
 def within(a_chars: Column, b_chars: Column, edits: int) -> Column:
@@ -128,8 +134,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     """One row per line: doc_id, line_no, line, class_place (place of the first line of its class, null if the line
     takes no part), place, n_links (other distinct lines within the edits), kept."""
     lines = hashed(lines_of(docs), min_chars)
-    light = lines.where("takes_part").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
-    distinct = stash(light.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "place", "copies", "line", F.length("line").alias("n"), signature(F.col("line")).alias("sig")), "lines")
+    # Grouped by the line itself: its minimum and count are summed in place, without a sort.
+    own = lines.where("takes_part").groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
+    own = own.select(F.monotonically_increasing_id().alias("id"), *hashes(), "place", "copies", "line", F.length("line").alias("n"))
+    distinct = stash(own.withColumn("sig", signature(F.col("line"), F.col("n"))), "lines")
     links = stash(edit_links(distinct, edits, min_chars), "line-links")
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "line-classes").withColumnRenamed("node", "id")
