@@ -16,6 +16,8 @@ table gives an empty result; `line_dedup` returns all columns under their names,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def hashed(lines: DataFrame, min_chars: int) -> DataFrame:
 
 
 def signature(line: Column, n: Column) -> Column:
-    """Ten letter counts modulo 64, in six bits each."""
+    """Counts of the LETTERS modulo 64, in six bits each."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
         out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(63)).cast("long"), 6 * k))
@@ -59,13 +61,6 @@ def near_signatures(a: str, b: str, edits: int) -> str:
     return f"{' + '.join(parts)} <= {2 * edits}"
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 0) of a line: the last ones are one longer if it doesn't divide."""
-    base, more = F.call_function("div", length, F.lit(edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
-    before = F.greatest(F.lit(0), more - (edits + 1 - i))
-    return base * i + before, base + (F.lit(edits + 1 - i) <= more).cast("int")
-
-
 def windows(edits: int) -> list[tuple[int, int, int]]:
     """(d, i, shift): where segment i of a line d shorter can lie in the probing line, relative to its own start."""
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
@@ -73,15 +68,17 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
 
 def keyed(distinct: DataFrame, edits: int, min_chars: int, probe: bool) -> DataFrame:
     """key, id, sig (its upper four bits: how much shorter the lines are that the row probes)."""
-    n, out = F.col("n"), []
-    places = windows(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
-    for d, i, s in places:
-        start, size = segment(n - d, i, edits)
-        fits = (n - d >= min_chars) & (start + s >= 0) & (start + s + size <= n)
-        out.append(F.when(fits, F.xxhash64(F.substring("line", start + s + 1, size), n - d, F.lit(i))))
-    rows = distinct.select("id", "sig", F.posexplode(F.array(*out)).alias("k", "key")).where("key is not null")
-    shorter = F.element_at(F.array(*[F.lit(d << 60) for d, _, _ in places]), F.col("k") + 1)
-    return rows.select("key", "id", F.col("sig").bitwiseOR(shorter.cast("long")).alias("sig"))
+    parts, cut = [], edits + 1
+    # One short projection for each d: all windows in one would be too much code for the JVM to compile.
+    for d in range(edits + 1) if probe else (0,):
+        own = distinct.where(F.col("n") >= min_chars + d).select("id", "line", F.col("sig").bitwiseOR(F.lit(d << 60)).alias("sig"), (F.col("n") - d).alias("size"))
+        own = own.select("*", F.expr(f"cast(size div {cut} as int)").alias("base"), F.expr(f"size % {cut}").alias("more"))
+        # Segment i starts at start; the last `more` ones are one longer. No window leaves the line, as min_chars is large enough.
+        start = lambda i: F.col("base") * i + F.greatest(F.lit(0), F.col("more") - (cut - i))
+        places = [(i, s) for e, i, s in windows(edits) if e == d] if probe else [(i, 0) for i in range(cut)]
+        keys = [F.xxhash64(F.substring("line", start(i) + (s + 1), F.col("base") + (F.col("more") >= cut - i).cast("int")), F.col("size"), F.lit(i)) for i, s in places]
+        parts.append(own.select(F.explode(F.array(*keys)).alias("key"), "id", "sig"))
+    return reduce(DataFrame.union, parts)
 
 
 def within(a_chars: Column, b_chars: Column, edits: int) -> Column:
@@ -133,6 +130,7 @@ def edit_links(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line: doc_id, line_no, line, class_place (place of the first line of its class, null if the line
     takes no part), place, n_links (other distinct lines within the edits), kept."""
+    assert min_chars > 2 * edits + 1, "segments would be too short"
     lines = hashed(lines_of(docs), min_chars)
     # Grouped by the line itself: its minimum and count are summed in place, without a sort.
     own = lines.where("takes_part").groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
