@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The files go when the application ends.
+    The files go with drop(), or when the application ends.
     """
     spark = df.sparkSession
     ship(spark)
@@ -57,7 +57,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stash = target
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Deletes what stash() wrote, once nothing will read it any more."""
+    for df in stashed:
+        df._stash.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df._stash, True)
 
 
 def words(text):
@@ -88,7 +96,8 @@ def components(edges: DataFrame, name: str = "components", at_most: int = 60) ->
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stash(small, name)
+        before, edges = edges, stash(small, name)
+        drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -33,7 +33,15 @@ def samples(rows: DataFrame, docs: int, chars: int) -> dict[str, list[str]]:
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     piece = F.substring(F.col("text"), 1 + F.greatest(F.lit(0), F.expr(f"(length(text) - {chars}) div 2")).cast("int"), F.lit(chars))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
-    some = rows.where("lang is not null and doc_id is not null and length(text) > 0").select("lang", order.alias("order"), piece.alias("piece"))
+    some = rows.where("lang is not null and doc_id is not null and length(text) > 0")
+    # One row for each language. Of a language with many rows only those of the lowest md5 are ranked: about four
+    # times as many as are asked for, so a language with most rows isn't ranked in one task.
+    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return {}
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (4 * docs + 64) / n))]), F.col("lang"))
+    low = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 2.0**32
+    some = some.select("lang", order.alias("order"), piece.alias("piece")).where(low < share)
     out: dict[str, list[str]] = {}
     for r in some.withColumn("k", rank).where(F.col("k") <= docs).orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(r["piece"])

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import components, stash, table
+from tidemark.llm._common import components, drop, stash, table
 
 EDITS = 2
 MIN_CHARS = 20
@@ -44,7 +44,7 @@ def hashed(lines: DataFrame, min_chars: int) -> DataFrame:
     place = F.coalesce(F.col("doc_id"), F.lit(9223372036854775807)).cast("decimal(20,0)") * PLACE + F.col("line_no")
     long_enough = F.length("line") >= min_chars
     some = F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    return lines.select("*", (long_enough & some).alias("takes_part"), *hashes(), place.cast("decimal(32,0)").alias("place"))
+    return lines.select("*", F.xxhash64("line", "line_no").alias("key"), (long_enough & some).alias("takes_part"), *hashes(), place.cast("decimal(32,0)").alias("place"))
 
 
 def signature(line: Column, n: Column) -> Column:
@@ -117,18 +117,18 @@ def edit_links(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     i, p = keyed(distinct, edits, min_chars, False).alias("i"), keyed(distinct, edits, min_chars, True).alias("p")
     met = i.join(p, F.expr(f"i.key = p.key and (p.sig >> 60 <> 0 or i.id < p.id) and i.id <> p.id and {near_signatures('i.sig', 'p.sig', edits)}"))
     pairs = stash(met.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = stash(ids, "line-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = stash(distinct.join(ids, "id", "left_semi").select("id", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line-texts")
+    ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ids")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stash(distinct.join(small, "id", "left_semi").select("id", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "line-texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("chars").alias("a_chars")), texts.select(F.col("id").alias("b"), F.col("chars").alias("b_chars"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(within(F.col("a_chars"), F.col("b_chars"), edits)).select("a", "b")
+    links = stash(both.where(within(F.col("a_chars"), F.col("b_chars"), edits)).select("a", "b"), "line-links")
+    drop(pairs, ids, texts)
+    return links
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line: doc_id, line_no, line, class_place (place of the first line of its class, null if the line
+    """One row per line: doc_id, line_no, key (a hash of both line and line_no), class_place (place of the first line of its class, null if the line
     takes no part), place, n_links (other distinct lines within the edits), kept."""
     assert min_chars > 2 * edits + 1, "segments would be too short"
     lines = hashed(lines_of(docs), min_chars)
@@ -136,7 +136,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     own = lines.where("takes_part").groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
     own = own.select(F.monotonically_increasing_id().alias("id"), *hashes(), "place", "copies", "line", F.length("line").alias("n"))
     distinct = stash(own.withColumn("sig", signature(F.col("line"), F.col("n"))), "lines")
-    links = stash(edit_links(distinct, edits, min_chars), "line-links")
+    links = edit_links(distinct, edits, min_chars)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "line-classes").withColumnRenamed("node", "id")
     linked = distinct.select("id", "h1", "h2", "place").join(found, "id").join(ends, "id")
@@ -145,15 +145,17 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     alone = distinct.where("copies > 1").select("h1", "h2", F.col("place").alias("own_place"))
     # Only lines with a copy or a link can fall; the others are their own class.
     told = alone.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("class_place", "own_place").alias("class_place"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = lines.join(told, ["h1", "h2"], "left")
+    told = stash(told, "line-verdicts")
+    drop(distinct, links)
+    out = lines.drop("line").join(told, ["h1", "h2"], "left")
     own = F.when(F.col("takes_part"), F.coalesce("class_place", "place"))
-    return out.select("doc_id", "line_no", "line", "place", own.alias("class_place"), F.when(F.col("takes_part"), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.coalesce(own == F.col("place"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "line_no", "key", "place", own.alias("class_place"), F.when(F.col("takes_part"), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.coalesce(own == F.col("place"), F.lit(True)).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines that are not kept taken out of text; a document may be left empty, none is dropped."""
     gone = line_classes(docs.select("doc_id", "text"), edits, min_chars).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.xxhash64("line", "line_no")).alias("_gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_gone"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", F.xxhash64(x, k))), "\n")

@@ -114,7 +114,7 @@ def posterior(votes: tuple[int, ...], prior: float, probs: list) -> float:
 
 
 def judged(features: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """features (counts(), stashed by the caller) with the votes, base_failed, p_good and kept."""
+    """features (counts(); it is read twice) with the votes, base_failed, p_good and kept."""
     names = [f"vote_{r[0]}" for r in RULES]
     voted = features.select("*", *vote_columns())
     # At most 3 ** len(RULES) rows reach the driver.
@@ -135,7 +135,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
-    kept = judged(stash(counts(own, ["_row"]), "quality")).where("kept")
+    # The counts are made twice, for the fit and for the verdicts: cheaper than a copy of the texts on disk.
+    kept = judged(counts(own, ["_row"])).where("kept")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import components, stash, table
+from tidemark.llm._common import components, drop, stash, table
 
 TILE = 32768
 BLOCK = 1024
@@ -157,18 +157,22 @@ def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame
 def simhash_dedup(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
     """One row of docs for each component, the one of its smallest doc_id, with all columns.
 
-    Where several rows have that doc_id and fingerprint, one of them stays.
+    Where several rows have that doc_id and text, one of them stays.
     """
 
+    # Rows are found again by doc_id and a hash of the text, so no copy of the texts is made.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("hash"))
+
     @F.pandas_udf("long")
     def marks(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, size) for t in text], np.uint64).view(np.int64))
 
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), marks("text").alias("fp"))
-    marked = stash(own, "marked")
-    of = grouped(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
-    best = of.groupBy("c").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("k")).select(F.col("k.first").alias("_id"), F.col("k.fp").alias("_fp"))
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).dropDuplicates(["doc_id", "fp"])
+    marked = stash(docs.select("doc_id", F.xxhash64("text").alias("hash"), marks("text").alias("fp")), "marked")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    of = grouped(marked.groupBy("fp").agg(F.min(named).alias("first")), radius)
+    best = stash(of.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash")), "kept")
+    drop(marked)
+    kept = own.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).dropDuplicates(["doc_id", "hash"])
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 

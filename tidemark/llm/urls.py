@@ -3,7 +3,8 @@
 A rule is (verdict, host, path); it fits its host and all subdomains if the url's path starts with the rule's, and the
 longest fitting rule decides a url. Pages name other urls as the same document by <link rel="canonical"> and
 <meta http-equiv="refresh">. Such urls, whether they are pages or not, form components; a url without a rule of its
-own is blocked if some url of its component is blocked by rule and none is explicitly allowed.
+own is blocked if some url of its component is blocked by rule. A url that a rule allows stays allowed, whatever its
+aliases are, but lends that to none of them: else a blocked site could clear itself by naming an allowed page.
 
 Urls are compared without scheme and fragment, host in lower case. Cases: null urls and urls without `://` have empty
 host and path, no rule and no edges, and are allowed; null html has no edges; repeated rows are judged each; edges
@@ -75,9 +76,8 @@ def url_filter(pages: DataFrame, rules: list = RULES) -> DataFrame:
     found = components(edges.join(a, "a").join(b, "b").select("u", "v"), "urls")
     whole = F.concat(F.lit("x://"), F.col("address"))
     known = nodes.join(found, "node").withColumn("own", rule_columns(host_of(whole), path_of(whole), rules)[1])
-    said = known.groupBy("component").agg(F.bool_or(F.col("own") == "block").alias("block"), F.bool_or(F.col("own") == "allow").alias("allow"))
-    # Only components with a block and no allow change anything.
-    aliases = known.join(said.where("block and not coalesce(allow, false)"), "component").where("own is null").select("address", F.lit("block").alias("alias_verdict"))
+    blocked = known.where("own = 'block'").select("component").distinct()
+    aliases = known.where("own is null").join(blocked, "component", "left_semi").select("address", F.lit("block").alias("alias_verdict"))
     base = pages.select("page_id", address(F.col("url")).alias("address"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     out = base.join(aliases, "address", "left")
