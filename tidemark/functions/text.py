@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,26 +11,40 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 
-#: The spaces of JavaScript's and Unicode's kind, and an ASCII word boundary.
-SPACES = r"\s\u000b   -     　﻿"
-BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Unicode's spaces within a class (but U+0085 and U+180E, which Java counts too), as few tests for each character.
+SPACES = r"\h\v\ufeff&&[^\x85\u180e]"
+#: An ASCII word boundary; where a word has to follow, its first half says as much and is tested fast.
+BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+STARTS = re.compile(r"\(|\[A-Z|[A-Za-z0-9]")
 
 
 def pattern(p: str) -> str:
-    """A rule's pattern for the JVM."""
-    out, k, inside = [], 0, False
+    """A rule's pattern for the JVM. What a rule has after `\\b(` begins with a word."""
+    out, k = [], 0
     while k < len(p):
         two = p[k : k + 2]
-        if p[k] == "\\":
-            out.append(BOUNDARY if two == r"\b" else SPACES if two == r"\s" and inside else f"[{SPACES}]" if two == r"\s" else two)
-            k += 2
+        if two == r"\b":
+            out.append(r"(?<!\w)" if STARTS.match(p, k + 2) else BOUNDARY)
+        elif two == r"\s":
+            out.append(f"[{SPACES}]")
+        elif two[0] == "\\":
+            out.append(two)
+        elif two[0] == "[":  # a whole class; spaces in it stand beside its other members
+            m = CLASS.match(p, k)
+            out.append(f"(?:[{SPACES}]|[{m[1].replace(chr(92) + 's', '')}])" if r"\s" in m[1] else m[0])
+            k = m.end()
             continue
-        inside = p[k] == "[" or inside and p[k] != "]"
-        out.append(p[k])
-        k += 1
+        else:
+            out.append(two[0])
+            k += 1
+            continue
+        k += 2
     return "".join(out)
 
 
+CLASS = re.compile(r"\[((?:\\.|[^\]\\])+)\]")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -75,7 +90,7 @@ def decode_entities(text: Column) -> Column:
 
     def one(x: Column) -> Column:
         out = _numeric(_numeric(x, "(?i)&#x([0-9a-f]+);", 16), "&#([0-9]+);", 10)
-        return reduce(lambda t, kv: F.regexp_replace(t, f"(?i)&{kv[1]};", kv[0].replace("$", r"\$")), rules.REFERENCES.items(), out)
+        return reduce(lambda t, kv: F.regexp_replace(t, f"(?i)&{kv[0]};", kv[1]), rules.REFERENCES.items(), out)
 
     return passes(text, lambda x: F.when(x.contains("&"), one(x)).otherwise(x))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +34,49 @@ def by_edition(items: DataFrame, build: Callable[[DataFrame, int], None], checkp
 def volume(items: DataFrame, hours: int = 36) -> DataFrame:
     """Items and outlets by hour and lean, final once the watermark has passed."""
     return items.withWatermark("published", f"{hours} hours").groupBy(F.window("published", "1 hour"), "lean").agg(F.count(F.lit(1)).alias("items"), F.approx_count_distinct("outlet").alias("outlets"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's Parquet files as a stream, a bounded number of them in each batch."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path)
+
+
+def event_volume(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def daily_firsts(events: DataFrame) -> DataFrame:
+    """The earliest event of each user, type and day; the state is one row for each of those."""
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return events.groupBy("user_id", "event_type", day).agg(F.min(F.struct("ts", "event_id")).alias("m")).select("user_id", "event_type", "day", F.col("m.event_id").alias("event_id"))
+
+
+def drained(updates: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """Runs a stream of updates until its input is used up; returns the last row of each key.
+
+    Batches are written to the shared folder under their number, so a batch that runs again replaces its own files.
+    """
+    spark = updates.sparkSession
+    top = shared_dir(spark) + f"/streams/{name}-{uuid.uuid4().hex}"
+    columns = updates.columns
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{top}/out/number={number}")
+
+    run = updates.writeStream.outputMode("update").option("checkpointLocation", f"{top}/state").foreachBatch(put).trigger(availableNow=True).start()
+    run.awaitTermination()
+    kinds = ", ".join(f"`{c}` {t}" for c, t in updates.dtypes) + ", _batch int, number int"
+    rows = spark.read.schema(kinds).option("basePath", f"{top}/out").parquet(f"{top}/out")
+    rest = [c for c in columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r"))
+    return last.select(*key, *[F.col("r").getField(c).alias(c) for c in rest])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set (tests, one machine), a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
