@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.functions.text import matches, strip_html, trim
+from tidemark.functions.text import let, matches, strip_html, trim
 from tidemark.functions.urls import url_path
 
 SPECIALIST = rules.SPECIALIST
@@ -60,10 +60,11 @@ def coverage_topic() -> Column:
     return F.when(claim, named).otherwise(rules.DEFAULT_TOPIC)
 
 
-def reconciled(topic: Column, headline: Column) -> Column:
-    """The headline's own topic, if it alone leads among those voted for and the coverage's topic has no hit in it."""
-    plain = strip_html(headline)
-    hits = {t: keyword_hits(plain, t) for t in SPECIALIST}
+def reconciled(topic: Column, headline: Column, hits: Column) -> Column:
+    """The headline's own topic, if it alone leads among those voted for and the coverage's topic has no hit in it.
+
+    hits: a struct of the headline's keyword hits by topic, a column of its own, as it is read many times.
+    """
     own = reduce(lambda out, t: F.when(topic == t, hits[t]).otherwise(out), SPECIALIST, F.lit(0))
     open_ = {t: F.when(F.col(f"votes_{t}") > 0, hits[t]).otherwise(-1) for t in SPECIALIST}
     high = F.greatest(*open_.values())
@@ -75,8 +76,9 @@ def reconciled(topic: Column, headline: Column) -> Column:
 
 def explained(votes: DataFrame, headline: str = "headline") -> DataFrame:
     """votes joined with the headline: topic, coverage_topic, reconciled (what changed, or null), share."""
-    out = votes.withColumn("coverage_topic", coverage_topic())
-    out = out.withColumn("topic", reconciled(F.col("coverage_topic"), F.col(headline)))
+    heard = let(strip_html(F.col(headline)), lambda x: F.struct(*[keyword_hits(x, t).alias(t) for t in SPECIALIST]))
+    out = votes.withColumns({"coverage_topic": coverage_topic(), "_hits": heard})
+    out = out.withColumn("topic", reconciled(F.col("coverage_topic"), F.col(headline), F.col("_hits"))).drop("_hits")
     change = F.when(F.col("topic") != F.col("coverage_topic"), F.concat_ws(" ", "coverage_topic", F.lit("->"), "topic", F.lit("by headline")))
     return out.withColumn("reconciled", change).withColumn("specialist_share", F.floor(F.col("specialists") / F.col("outlets") * 100 + 0.5) / 100)
 

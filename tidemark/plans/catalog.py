@@ -345,7 +345,7 @@ def edition_documents(spark, sf_dir):
 @query
 def delivery_plans(spark, sf_dir):
     """What would be delivered when, had a build ended at each event."""
-    e = S.table(spark, sf_dir, "events")
+    e = S.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     plan = delivery.delivery_plan(F.col("ts"), 6, 0, "America/Chicago", 180)
     return e.select("event_id", plan.alias("p"), delivery.local_date(F.col("ts"), "America/Chicago").alias("day")).select("event_id", "day", "p.action", "p.deliver_at", "p.late_minutes", "p.slot")
 

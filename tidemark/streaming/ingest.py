@@ -38,8 +38,9 @@ def volume(items: DataFrame, hours: int = 36) -> DataFrame:
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's Parquet files as a stream, a bounded number of them in each batch."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # As a pattern, since the stream reader takes a plain path for a folder; the table may be one file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def event_volume(events: DataFrame) -> DataFrame:
