@@ -95,3 +95,38 @@ def test_one_document_of_each_group_stays(spark):
     assert all(r["fp"] == "own fp" for r in rows)
     assert simhash.simhash_groups(docs).count() == docs.count()
     assert simhash.simhash_groups(empty_docs(spark)).count() == 0 and simhash.simhash_dedup(empty_docs(spark)).count() == 0
+
+
+def test_dedup_reaches_similarity_of_eight_tenths(spark):
+    rng = np.random.default_rng(8)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    docs, similar, alike = [], set(), 0
+    for g in range(60):
+        base = [f"w{rng.integers(9999)}" for _ in range(300)]
+        near = list(base)
+        for k in range(0, 300, int(rng.integers(20, 100))):
+            near[k] = "new"
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+        x, y = (shingles(t) for _, t in docs[-2:])
+        alike += len(x & y) / len(x | y) >= 0.8
+        similar |= {2 * g + 1} if len(x & y) / len(x | y) >= 0.8 else set()
+    assert 10 < alike < 50
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {2 * g for g in range(60)} <= kept and not {i for i, _ in docs if i % 2 and i not in similar} - kept
+    assert len(similar & kept) <= 1
+
+
+def test_candidates_reach_similarity_of_eight_tenths():
+    """Measured recall at the threshold itself: at least 0.97 of 400 pairs of 300 shingles of Jaccard 0.8."""
+    rng, met = np.random.default_rng(9), 0
+    for _ in range(400):
+        same, a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**9, n)) for n in (240, 30, 30))
+        x, y = simhash.sketch(f"{same} {a}", 1), simhash.sketch(f"{same} {b}", 1)
+        met += (x[2] ^ y[2]).bit_count() + (x[3] ^ y[3]).bit_count() <= 30
+    assert met >= 388
+
+
+def test_large_groups_of_near_copies_become_one(spark):
+    base = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join([*base, f"end{k}"])) for k in range(3000)]
+    assert [r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [0]
