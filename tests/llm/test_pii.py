@@ -66,3 +66,18 @@ def test_odd_cases(spark):
     rows = pii.pii_spans(docs).collect()
     assert len(rows) == docs.count() and all(r["n_card"] == 0 for r in rows)
     assert pii.pii_spans(empty_docs(spark)).count() == 0
+
+
+def test_identifiers_with_spaces_and_without_digits(spark):
+    cards = known_cards(12)
+    docs = [(k, f"{text(k, 6)} card number {c} then write to a{'bcdefghijklm'[k]}@x.org now") for k, c in enumerate(cards)]
+    more = ["4111 1111 1111 1112", "(030) 12 34 56", "555 123 4567"]
+    docs += [(50 + k, f"the card number {x}, as said") for k, x in enumerate(more)]
+    marked = ["jane.doe(at)example", "user@localhost", "jane [at] example [dot] org"]
+    docs += [(60 + k, f"please write to {x}, as said") for k, x in enumerate(marked)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    by = dict(docs)
+    for first, kind, found in ((50, "card", more), (60, "email", marked)):
+        for k, x in enumerate(found):
+            a = by[first + k].index(x)
+            assert rows[first + k] == f"{kind}:{a}:{a + len(x)}"

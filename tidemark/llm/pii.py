@@ -1,7 +1,8 @@
 """Personal data: fixed patterns first, then bootstrapped contextual extraction.
 
 Spans found by the fixed patterns are seeds. The two words before a seed (in lower case) are a lexical pattern for its
-kind. All identifier-like tokens of the corpus (with a digit, not part of a seed) are instances too. Spark scores the
+kind. All identifier-like tokens of the corpus (with a digit, an at sign, a dot inside or a mark like (at), not part of
+a seed) are instances too, and so are runs of digit groups joined by spaces, brackets or hyphens. Spark scores the
 graph of patterns and instances in rounds: a pattern's score for a kind is the mean score of the instances it stands
 before, smoothed; an instance's score is the best of its patterns'. Patterns need min_support different seeds. What
 reaches the threshold after the rounds is added under the pattern's kind.
@@ -33,6 +34,12 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LAST_TWO = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
 #: Letters that may be looked back over for the two words of a pattern.
 BACK = 200
+#: Digit groups joined by spaces, brackets or hyphens, from the start of a token to the end of one.
+RUN = re.compile(r"(?<![^\x20\x09-\x0D])[+(\[]*[0-9]++(?:[\x20()\[\]-]{1,3}[0-9]++)+(?=[^\w\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|\Z))")
+#: Names joined by marks like (at) and [dot].
+MARKED = re.compile(r"[A-Za-z0-9._%+-]++(?:\x20?[(\[{<](?:at|dot|@|\.)[)\]}>]\x20?[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)+", re.I)
+#: What makes a token identifier-like: a digit, an at sign, a dot inside or a mark like (at).
+SIGN = re.compile(r"[0-9]+|@|(?<=[^\W_])\.(?=[^\W_])|[(\[{<](?:at|dot)[)\]}>]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -70,12 +77,23 @@ def context(text: str, start: int) -> str | None:
 
 
 def mentions(text: str, seeds: list[tuple[int, int, int]], least: int = 5) -> list[tuple[int, int, int, str, str]]:
-    """(kind number or -1, start, end, instance, pattern) of the seeds and of other identifier-like tokens."""
+    """(kind number or -1, start, end, instance, pattern) of the seeds and of other identifier-like tokens and runs."""
     out = [(k, a, b, text[a:b], p) for k, a, b in seeds if (p := context(text, a))]
     taken = sorted((a, b) for _, a, b in seeds)
-    at = 0
-    while m := DIGITS.search(text, at):
+    whole = [m.span() for m in RUN.finditer(text)] if DIGITS.search(text) else []
+    whole = sorted(whole + [m.span() for m in MARKED.finditer(text)])
+    whole = [(a, b) for a, b in whole if b - a >= least and not any(x < b and a < y for x, y in taken)]
+    k, at = 0, 0
+    while m := SIGN.search(text, at):
         a, b = m.start(), m.end()
+        while k < len(whole) and whole[k][1] <= a:
+            k += 1
+        if k < len(whole) and whole[k][0] < b:
+            a, b = whole[k]
+            if p := context(text, a):
+                out.append((-1, a, b, text[a:b], p))
+            at = max(at + 1, b)
+            continue
         while a > 0 and text[a - 1] not in SPACES:
             a -= 1
         while b < len(text) and text[b] not in SPACES:
