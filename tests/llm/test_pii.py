@@ -81,3 +81,12 @@ def test_identifiers_with_spaces_and_without_digits(spark):
         for k, x in enumerate(found):
             a = by[first + k].index(x)
             assert rows[first + k] == f"{kind}:{a}:{a + len(x)}"
+
+
+def test_found_identifiers_give_other_patterns_support(spark):
+    docs = [(k, f"{text(k, 6)} card number {c} {text(k + 50, 5)}") for k, c in enumerate(known_cards(30))]
+    docs += [(50 + k, f"card number 9999-ABCD-{k} and") for k in range(4)]
+    docs += [(60 + k, f"billed under 9999-ABCD-{k} and") for k in range(4)]
+    docs += [(70, "billed under 7777-WXYZ-1 and")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[70] == "card:13:24" and rows[60] == "card:13:24"

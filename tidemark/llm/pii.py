@@ -5,7 +5,8 @@ kind. All identifier-like tokens of the corpus (with a digit, an at sign, a dot
 a seed) are instances too, and so are runs of digit groups joined by spaces, brackets or hyphens. Spark scores the
 graph of patterns and instances in rounds: a pattern's score for a kind is the mean score of the instances it stands
 before, smoothed; an instance's score is the best of its patterns'. Patterns need min_support different seeds. What
-reaches the threshold after the rounds is added under the pattern's kind.
+reaches the threshold after the rounds counts as a seed and all is scored again, until nothing new is found (at most
+HOPS times); then it is added under the pattern's kind.
 
 Cases: null and empty texts have no spans; repeated rows get the same spans each; overlapping finds of different kinds
 all stay; a token already inside a seed is never added; ties between kinds go to the first kind; an empty table gives
@@ -40,6 +41,8 @@ RUN = re.compile(r"(?<![^\x20\x09-\x0D])[+(\[]*[0-9]++(?:[\x20()\[\]-]{1,3}[0-9]
 MARKED = re.compile(r"[A-Za-z0-9._%+-]++(?:\x20?[(\[{<](?:at|dot|@|\.)[)\]}>]\x20?[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)+", re.I)
 #: What makes a token identifier-like: a digit, an at sign, a dot inside or a mark like (at).
 SIGN = re.compile(r"[0-9]+|@|(?<=[^\W_])\.(?=[^\W_])|[(\[{<](?:at|dot)[)\]}>]", re.I)
+#: The score-and-discover rounds end when nothing new is found, or after so many.
+HOPS = 10
 
 
 def luhn(digits: str) -> bool:
@@ -147,8 +150,18 @@ def pii_spans(docs: DataFrame, rounds: int = 3, threshold: float = 0.7, smoothin
     base = stash(found(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "pii")
     each = base.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     graph = stash(each.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-mentions")
-    good = pattern_scores(graph, rounds, smoothing, min_support).where(F.col("score") >= threshold)
-    best = good.groupBy("pattern").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("new"))
+    labelled, seen = graph, None
+    for _ in range(HOPS):
+        good = stash(pattern_scores(labelled, rounds, smoothing, min_support).where(F.col("score") >= threshold), "pii-patterns")
+        best = good.groupBy("pattern").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("new"), F.max("score").alias("score"))
+        # What a strong pattern finds is a seed of the next round, so it can give other patterns support.
+        told = graph.where("kind < 0").join(best, "pattern").groupBy("instance").agg(F.max_by("new", F.struct(F.col("score"), -F.col("new"))).alias("new"))
+        told = stash(told, "pii-told")
+        now = told.agg(F.count(F.lit(1)), F.sum(F.xxhash64("instance", "new").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            break
+        seen = now
+        labelled = graph.join(told, "instance", "left").select("pattern", "instance", F.when(F.col("kind") < 0, F.coalesce("new", F.lit(-1))).otherwise(F.col("kind")).alias("kind"), "n")
     added = each.where("kind < 0").join(best, "pattern").select("row", F.struct(F.col("new").alias("kind"), "start", "end").alias("s"))
     added = added.groupBy("row").agg(F.collect_list("s").alias("added"))
     spans = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
