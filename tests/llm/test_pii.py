@@ -90,3 +90,8 @@ def test_found_identifiers_give_other_patterns_support(spark):
     docs += [(70, "billed under 7777-WXYZ-1 and")]
     rows = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert rows[70] == "card:13:24" and rows[60] == "card:13:24"
+
+
+def test_context_has_no_limit():
+    assert pii.context("a " + "b" * 500 + " " * 300 + "12345", 802) == "a " + "b" * 500
+    assert pii.context("only 12345", 5) is None

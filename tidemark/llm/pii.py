@@ -32,9 +32,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 SPACES = " \t\n\x0b\x0c\r"
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-LAST_TWO = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
-#: Letters that may be looked back over for the two words of a pattern.
-BACK = 200
 #: Digit groups joined by spaces, brackets or hyphens, from the start of a token to the end of one.
 RUN = re.compile(r"(?<![^\x20\x09-\x0D])[+(\[]*[0-9]++(?:[\x20()\[\]-]{1,3}[0-9]++)+(?=[^\w\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|\Z))")
 #: Names joined by marks like (at) and [dot].
@@ -74,9 +71,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def context(text: str, start: int) -> str | None:
-    """The two words before start in lower case, if there are two within reach."""
-    m = LAST_TWO.search(text[max(0, start - BACK) : start])
-    return f"{m[1]} {m[2]}".lower() if m else None
+    """The two words before start in lower case, if there are two."""
+    words = []
+    for _ in range(2):
+        while start > 0 and text[start - 1] in SPACES:
+            start -= 1
+        end = start
+        while start > 0 and text[start - 1] not in SPACES:
+            start -= 1
+        words.append(text[start:end])
+    return f"{words[1]} {words[0]}".lower() if words[1] else None
 
 
 def mentions(text: str, seeds: list[tuple[int, int, int]], least: int = 5) -> list[tuple[int, int, int, str, str]]:
