@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm._common import stash, table
 from tidemark.llm.line_dedup import line_dedup
-from tidemark.llm.mixing import in_order
+from tidemark.llm.mixing import in_order, mixed
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_filter
 from tidemark.llm.simhash import simhash_dedup
@@ -33,8 +33,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and places."""
-    return pack(docs)
+    """Pieces of documents with their sequences and places, the sequences in the order of the mix.
+
+    Files may be read in any order, so the places in the mix are made again from the same rows.
+    """
+    return pack(mixed(docs), order="mix_position")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_documents), ("pfair_mix", mix_sources), ("best_fit_packing", pack_sequences)]

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.helpers import empty_docs, odd_docs, text
-from tidemark.llm import registry
+from tidemark.llm import mixing, registry
 
 
 def run(spark, docs, tmp_path):
@@ -36,3 +36,13 @@ def test_empty(spark, tmp_path):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_sequences_are_in_the_order_of_the_mix(spark, tmp_path):
+    rows = [(k, text(k, 700), "en", f"src{k % 3}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    place = {r["doc_id"]: r["mix_position"] for r in mixing.mixed(docs).collect()}
+    heads = [r for r in corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect() if r["offset"] == 0]
+    assert sorted(r["sequence_id"] for r in heads) == list(range(len(heads)))
+    in_mix = [place[r["doc_id"]] for r in sorted(heads, key=lambda r: r["sequence_id"])]
+    assert in_mix == sorted(in_mix)

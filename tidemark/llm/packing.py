@@ -69,8 +69,9 @@ def pieces_of(ids: list[int], capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """A row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32 and, if asked for, ids and _order."""
+    own, placed = [] if order is None else [F.col(order).cast("long").alias("_order")], order is not None
 
     def run(batches):
         encode = encoder(path)
@@ -78,15 +79,16 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
                 out = []
-                for doc, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]])):
+                places = part["_order"] if placed else [0] * len(part)
+                for doc, place, ids in zip(part["doc_id"], places, encode([t or "" for t in part["text"]])):
                     ids.append(end)
                     packed = np.array(ids, "<u4")
-                    out += [(doc, n, a, m, zlib.crc32(packed[a : a + m].tobytes()), *([ids[a : a + m]] if with_ids else [])) for n, (a, m) in enumerate(pieces_of(ids, capacity))]
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                    out += [(doc, n, a, m, zlib.crc32(packed[a : a + m].tobytes()), *([ids[a : a + m]] if with_ids else []), *([place] if placed else [])) for n, (a, m) in enumerate(pieces_of(ids, capacity))]
+                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["_order"] * placed])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text", *own).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", _order long" * len(own))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -134,9 +136,19 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return plan
 
 
+def order_bucket(pieces: DataFrame, order: str):
+    """Column: one of BUCKETS ranges of the values of order, which are from 0 on."""
+    most = pieces.agg(F.max(order)).first()[0] or 0
+    return F.floor(F.col(order) * F.lit(BUCKETS) / F.lit(most + 1))
+
+
 def assigned(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (stashed by the caller) with sequence_id and offset."""
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    """pieces (stashed by the caller) with sequence_id and offset; by _order, if there is one, pieces of a length are seated."""
+    by_order = ["_order"] * ("_order" in pieces.columns)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))
+    if by_order:
+        bucket = order_bucket(pieces, "_order")
+    dealt = pieces.withColumn("_bucket", bucket.cast("int"))
     # At most capacity * BUCKETS rows.
     counts = sorted(((r[0], r[1], r[2]) for r in dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1))).collect()))
     histogram: dict[int, int] = defaultdict(int)
@@ -149,7 +161,7 @@ def assigned(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         by_length[length].append((rank, first, offset))
     plan = {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in by_length.items()}
     sent = pieces.sparkSession.sparkContext.broadcast((base, plan))
-    ranked = partial_ranks(dealt, ["length"], "_bucket", ["doc_id", "piece", "start", "ids_crc32"])
+    ranked = partial_ranks(dealt, ["length"], "_bucket", [*by_order, "doc_id", "piece", "start", "ids_crc32"])
     names = pieces.columns
 
     def seat(batches):
@@ -172,9 +184,29 @@ def assigned(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(seat, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""
-    return assigned(stash(tokenized(docs, path or default_path(), capacity, end, with_ids), "pieces"), capacity)
+def in_order(seated: DataFrame) -> DataFrame:
+    """seated with its sequences numbered by the _order of their first pieces."""
+    seated = stash(seated, "seated")
+    heads = seated.where("offset = 0").select("sequence_id", "_order").withColumn("_bucket", order_bucket(seated, "_order").cast("int"))
+    base, at = [], 0
+    # At most BUCKETS rows.
+    for bucket, n in sorted(tuple(r) for r in heads.groupBy("_bucket").agg(F.count(F.lit(1))).collect()):
+        base.append((bucket, at))
+        at += n
+    base = seated.sparkSession.createDataFrame(base, "_bucket int, _base long")
+    ranked = partial_ranks(heads, [], "_bucket", ["_order", "sequence_id"]).join(F.broadcast(base), "_bucket")
+    named = ranked.select("sequence_id", (F.col("_base") + F.col("_local")).cast("long").alias("_number"))
+    names = [c for c in seated.columns if c != "_order"]
+    return seated.join(named, "sequence_id").select(*[F.col("_number").alias(c) if c == "sequence_id" else F.col(c) for c in names])
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset.
+
+    With order, a column of places from 0 on, pieces of a length are seated and sequences numbered by it.
+    """
+    out = assigned(stash(tokenized(docs, path or default_path(), capacity, end, with_ids, order), "pieces"), capacity)
+    return out if order is None else in_order(out)
 
 
 def op8_best_fit_packing(spark, sf_dir):
