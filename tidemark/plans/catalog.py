@@ -41,6 +41,10 @@ def _scalar(name: str, column) -> None:
     f = lambda spark, sf_dir: S.texts(spark, sf_dir).select("kind", "id", column(F.col("text")).alias("value"))
     f.__name__ = name
     query(f)
+    # The SQL is over first lines; over whole texts there is none.
+    g = lambda spark, sf_dir: S.whole_texts(spark, sf_dir).select("kind", "id", column(F.col("text")).alias("value"))
+    g.__name__ = f"whole_{name}"
+    query(g)
 
 
 _scalar("decode_entities", T.decode_entities)
@@ -336,6 +340,23 @@ def flag_urls(spark, sf_dir):
     return S.stories(spark, sf_dir).select("rank", publish.flag_url("example/example").alias("flag"))
 
 
+@query
+def whole_atom_entries(spark, sf_dir):
+    """atom_entries of whole titles and descriptions; no SQL, as for the two below."""
+    return publish.atom_entries(S.stories(spark, sf_dir, True), "2024-01-30T00:00:00Z", "https://site.example.com/")
+
+
+@query
+def whole_push_messages(spark, sf_dir):
+    st = S.stories(spark, sf_dir, True)
+    return publish.build_messages(st, "news", F.lit(10), limit=1 << 30, deliver_at=F.lit("2024-01-30 12:00:00").cast("timestamp"), now=S.now())
+
+
+@query
+def whole_flag_urls(spark, sf_dir):
+    return S.stories(spark, sf_dir, True).select("rank", publish.flag_url("example/example").alias("flag"))
+
+
 @query
 def edition_documents(spark, sf_dir):
     """One JSON document an edition, of the stories that the daily build chooses."""

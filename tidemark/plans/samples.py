@@ -90,6 +90,12 @@ def headlines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(HEADLINES)), "id long, text string")
 
 
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, id, text: those of texts() and the whole texts of documents."""
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return texts(spark, sf_dir).unionByName(d)
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id, text: the literal headlines, the first lines of documents, and the markup of pages."""
     d = table(spark, sf_dir, "documents").select(F.lit("title").alias("kind"), F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
@@ -107,13 +113,14 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).drop("edition").withColumns({"edition": F.lit(NOW[:10]), "cluster_ix": F.col("item_id") % 97, "member_ix": F.col("item_id")})
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item as if it were a story."""
+def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Each item as if it were a story, with short titles and summaries or whole ones."""
+    cut = lambda c, n: F.col(c) if whole else F.substring(c, 1, n)
     topic = F.get(F.array(*map(F.lit, ("world", "tech", "business", "health"))), (F.col("item_id") % 4).cast("int"))
     short = F.when(F.col("item_id") % 5 != 0, F.upper(topic))
-    cover = F.struct(F.col("source_name").alias("source"), F.col("source_id").alias("sourceId"), "lean", F.substring("title", 1, 60).alias("title"), F.col("link").alias("url"))
+    cover = F.struct(F.col("source_name").alias("source"), F.col("source_id").alias("sourceId"), "lean", cut("title", 60).alias("title"), F.col("link").alias("url"))
     return items(spark, sf_dir).select(
         "edition", (F.col("item_id") + 1).cast("int").alias("rank"), F.concat(F.lit("s"), "item_id").alias("id"), topic.alias("topic"), F.initcap(topic).alias("topicLabel"), short.alias("topicShort"),
-        F.substring("title", 1, 180).alias("title"), F.when(F.col("item_id") % 3 != 0, F.substring("description", 1, 200)).alias("summary"), F.col("link").alias("url"), F.col("source_name").alias("headlineSource"),
+        cut("title", 180).alias("title"), F.when(F.col("item_id") % 3 != 0, cut("description", 200)).alias("summary"), F.col("link").alias("url"), F.col("source_name").alias("headlineSource"),
         (F.col("item_id") % 5 + 1).cast("int").alias("sourceCount"), (F.col("item_id") % 3 + 1).cast("int").alias("leanCount"), F.when(F.col("item_id") % 4 == 0, F.array().cast("array<struct<source:string,sourceId:string,lean:string,title:string,url:string>>")).otherwise(F.array(cover)).alias("coverage"),
     )
