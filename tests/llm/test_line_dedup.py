@@ -77,3 +77,12 @@ def test_odd_cases(spark):
     by = {r["doc_id"]: r["text"] for r in out.collect()}
     assert by[1] == text(1, 80) and by[2] == "" and by[4] is None and by[13] == ""
     assert ld.line_dedup(empty_docs(spark)).count() == 0 and ld.line_classes(empty_docs(spark)).count() == 0
+
+
+def test_short_lines_of_the_query(spark, tmp_path):
+    docs = [(1, "Read more\nabc\n\nAll rights reserved"), (2, "Read more\nabd\n\nAll rights reserve"), (3, "Raed more\nabc\n\nown")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["n_links"], r["kept"]) for r in ld.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[d, 0] for d in (1, 2, 3)] == [(1, 1, True), (1, 1, False), (1, 1, False)]
+    assert [got[d, 1] for d in (1, 2, 3)] == [(1, 0, True), (2, 0, True), (1, 0, False)]
+    assert [got[d, 2][2] for d in (1, 2, 3)] == [True] * 3 and got[2, 3] == (1, 1, False) and got[3, 3] == (3, 0, True)

@@ -9,7 +9,9 @@ bit-parallel edit automaton: 2k + 1 diagonals by k + 1 edit counts packed in one
 
 Links make classes (connected components). In every class the first line, by (doc_id, line_no), stays.
 
-Only DataFrame functions run on the executors. Cases: shorter and blank lines and null texts take no part and stay;
+The query and the pipeline's stage pass short: lines of every length take part, those too short for segments by hash.
+
+Only DataFrame functions run on the executors. Cases: blank lines, null texts and, without short, shorter lines take no part and stay;
 rows of one doc_id count as one document; a null doc_id comes after all others; equal lines tie by position; an empty
 table gives an empty result; `line_dedup` returns all columns under their names, with the lines removed from text.
 """
@@ -127,11 +129,17 @@ def edit_links(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return links
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """One row per line: doc_id, line_no, key (a hash of both line and line_no), class_place (place of the first line of its class, null if the line
-    takes no part), place, n_links (other distinct lines within the edits), kept."""
+    takes no part), place, n_links (other distinct lines within the edits), kept.
+
+    With short, lines under min_chars take part too: down to 2 * edits + 2 code points as longer ones do, below that
+    with their exact copies only.
+    """
+    if short:
+        min_chars = 2 * edits + 2
     assert min_chars > 2 * edits + 1, "segments would be too short"
-    lines = hashed(lines_of(docs), min_chars)
+    lines = hashed(lines_of(docs), 1 if short else min_chars)
     # Grouped by the line itself: its minimum and count are summed in place, without a sort.
     own = lines.where("takes_part").groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
     own = own.select(F.monotonically_increasing_id().alias("id"), *hashes(), "place", "copies", "line", F.length("line").alias("n"))
@@ -152,9 +160,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return out.select("doc_id", "line_no", "key", "place", own.alias("class_place"), F.when(F.col("takes_part"), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.coalesce(own == F.col("place"), F.lit(True)).alias("kept"))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with the lines that are not kept taken out of text; a document may be left empty, none is dropped."""
-    gone = line_classes(docs.select("doc_id", "text"), edits, min_chars).where("not kept")
+    gone = line_classes(docs.select("doc_id", "text"), edits, min_chars, short).where("not kept")
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_gone"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("text"))
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
@@ -165,7 +173,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def op7_line_dedup(spark, sf_dir):
     """One row per line: its class by the place of the class's first line, its links, and whether it stays."""
-    out = line_classes(table(spark, sf_dir, "documents"))
+    out = line_classes(table(spark, sf_dir, "documents"), short=True)
     split = lambda c: (F.floor(F.col(c) / PLACE).cast("long"), (F.col(c) % PLACE).cast("int"))
     doc, line = split("class_place")
     return out.select("doc_id", "line_no", F.coalesce(doc, F.col("doc_id")).alias("class_doc_id"), F.coalesce(line, F.col("line_no")).alias("class_line_no"), "n_links", "kept")
