@@ -66,3 +66,9 @@ def test_long_chains_of_redirects(spark):
     chain = [(k, f"https://c{k}.test/", page(f"https://c{k + 1}.test/")) for k in range(n)] + [(n, f"https://c{n}.test/", page("https://b.com/en/1"))]
     rows = urls.url_filter(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()
     assert {r["verdict"] for r in rows} == {"block"}
+
+
+def test_entities_in_targets(spark):
+    pages = [(1, "https://b.com/en/x?a=1&b=2", None), (2, "https://alias.test/y?a=1&b=2", None), (3, "https://alias.test/z", page("https://b.com/en/x?a=1&amp;b=2", "https://alias.test/y?a=1&amp;b=2"))]
+    rows = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in rows} == {1: "block", 2: "block", 3: "block"}

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import decode_entities
 from tidemark.llm._common import components, stash, table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -68,7 +69,7 @@ def resolved(url: Column, target: Column) -> Column:
 
 def url_filter(pages: DataFrame, rules: list = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and alias_verdict (what the component says where no rule does)."""
-    one = pages.select("page_id", "url", F.explode(targets(F.col("html"))).alias("target"))
+    one = pages.select("page_id", "url", F.explode(targets(F.col("html"))).alias("target")).withColumn("target", decode_entities(F.col("target")))
     edges = one.select(address(F.col("url")).alias("a"), address(resolved(F.col("url"), F.col("target"))).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     edges = stash(edges, "url-edges")
     nodes = stash(edges.select("a").union(edges.select("b")).distinct().select(F.monotonically_increasing_id().alias("node"), F.col("a").alias("address")), "url-nodes")
