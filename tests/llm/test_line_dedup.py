@@ -59,7 +59,7 @@ def test_classes_match_brute_force(spark):
     for seed, edits in ((1, 2), (2, 1), (3, 3), (4, 2)):
         docs = sample(seed)
         got = ld.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), edits, 20).collect()
-        got = {(r["doc_id"], r["line_no"]): (int(r["class_place"]) // ld.PLACE if r["class_place"] is not None else r["doc_id"], int(r["class_place"]) % ld.PLACE if r["class_place"] is not None else r["line_no"], r["n_links"], r["kept"]) for r in got}
+        got = {(r["doc_id"], r["line_no"]): (int(r["class_place"]) // ld.PLACE, int(r["class_place"]) % ld.PLACE, r["n_links"], r["kept"]) for r in got}
         assert got == brute(docs, edits, 20)
 
 
@@ -86,3 +86,41 @@ def test_short_lines_of_the_query(spark, tmp_path):
     assert [got[d, 0] for d in (1, 2, 3)] == [(1, 1, True), (1, 1, False), (1, 1, False)]
     assert [got[d, 1] for d in (1, 2, 3)] == [(1, 0, True), (2, 0, True), (1, 0, False)]
     assert [got[d, 2][2] for d in (1, 2, 3)] == [True] * 3 and got[2, 3] == (1, 1, False) and got[3, 3] == (3, 0, True)
+
+
+def test_negative_and_null_ids(spark, tmp_path):
+    line = "a line of some length that repeats"
+    docs = [(-5, f"own text number one of five\n{line}"), (3, f"{line}!"), (None, line), (None, f"only here, without an id\n{line}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["line_no"], r["class_doc_id"], r["class_line_no"], r["n_links"], r["kept"]) for r in ld.op7_line_dedup(spark, str(tmp_path)).collect())
+    assert got == Counter([(-5, 0, -5, 0, 0, True), (-5, 1, -5, 1, 1, True), (3, 0, -5, 1, 1, False), (None, 0, -5, 1, 1, False), (None, 0, None, 0, 0, True), (None, 1, -5, 1, 1, False)])
+
+
+def test_hot_lines_and_shared_segments(spark, monkeypatch):
+    """Lines of very many copies are told by broadcast, and the result is the same."""
+    from tidemark.llm import _common
+
+    docs = sample(11, 40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 2, 20)
+    monkeypatch.setattr(_common, "HOT_ROWS", 1)
+    monkeypatch.setattr(_common, "HOT_KEYS", 1 << 40)
+    got = ld.line_classes(frame, 2, 20).collect()
+    assert {(r["doc_id"], r["line_no"]): (int(r["class_place"]) // ld.PLACE, int(r["class_place"]) % ld.PLACE, r["n_links"], r["kept"]) for r in got} == want
+
+
+def test_every_window_is_probed():
+    """For lines a and b within the edits, some own piece of the shorter is a piece of the longer."""
+    r = random.Random(5)
+
+    def pieces(x, edits, own):
+        base, rest = divmod(len(x), edits + 1)
+        return {(i, x[i * base + off : i * base + off + base + more]) for i, by in enumerate(ld.windows(edits)) for off, more in (by[rest][:1] if own else by[rest])}
+
+    for edits in (1, 2, 3):
+        for _ in range(2000):
+            a = "".join(r.choice("ab") for _ in range(r.randint(2 * edits + 2, 30)))
+            b = edited(r, a, r.randint(0, edits))
+            a, b = sorted((a, b), key=len)
+            if len(a) > 2 * edits + 1 and distance(a, b) <= edits:
+                assert pieces(a, edits, True) & pieces(b, edits, False)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words here.
 SPACE = r"[\x20\x09-\x0D]+"
+#: A key is hot beyond so many rows and beyond one in HOT_KEYS of all; so there are at most HOT_KEYS hot ones.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000
 
 
 _shipped: set[str] = set()
@@ -81,27 +83,49 @@ def partial_ranks(df: DataFrame, key: list[str], bucket: str, order: list) -> Da
     return df.withColumn("_local", F.row_number().over(Window.partitionBy(*key, bucket).orderBy(*order)) - 1)
 
 
-def components(edges: DataFrame, name: str = "components", at_most: int = 60) -> DataFrame:
+def spread(rows: DataFrame, told: DataFrame, key: list[str], copies: str) -> DataFrame:
+    """rows with the columns of told (stashed, one row for each key), left joined on key (not null).
+
+    Keys that have more rows than one task should take, by the count in copies, are told by broadcast: at most
+    HOT_KEYS of them. Their rows go to the shuffle under a hash of the whole row, so no task gets them all.
+    """
+    rest = [c for c in told.columns if c not in key and c != copies]
+    bound = max(HOT_ROWS, (told.agg(F.sum(copies)).first()[0] or 0) // HOT_KEYS)
+    hot = told.where(F.col(copies) > bound).select(*key, F.struct(*rest).alias("_hot"))
+    cold = told.where(F.col(copies) <= bound).select(*[F.col(c).alias(f"_{c}") for c in key], F.struct(*rest).alias("_cold"))
+    some = rows.join(F.broadcast(hot), key, "left").withColumn("_first", F.when(F.col("_hot").isNull(), F.col(key[0])).otherwise(F.xxhash64(*rows.columns)))
+    on = (F.col("_first") == F.col(f"_{key[0]}")) & F.col("_hot").isNull()
+    for c in key[1:]:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return some.join(cold, on, "left").select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in rest])
+
+
+def lowest(edges: DataFrame, many: bool) -> DataFrame:
+    """edges (u, v) with m, the least v of the same u. many: some u may have too many rows for one task."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    if not many:
+        return edges.join(low.drop("degree"), "u")
+    return spread(edges, stash(low, "lowest"), ["u"], "degree")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (u long, v long) as (node, component), component being the smallest node.
 
-    Alternates large-star and small-star steps, each an aggregate by minimum and a join, so a hub is never gathered
-    in one task. Every round is written to the shared folder. Loops and repeated edges are allowed; nodes without
-    an edge do not appear.
+    Alternates large-star and small-star steps, each an aggregate by minimum and a join; a hub's edges are told the
+    minimum by broadcast, so they are never gathered in one task. Every round is written to the shared folder. Loops
+    and repeated edges are allowed; nodes without an edge do not appear.
     """
     edges = stash(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), name)
-    seen = None
-    for _ in range(at_most):
+    state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen, now = None, state()
+    while now != seen:
+        seen, many = now, now[0] > HOT_ROWS
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = lowest(both, many).withColumn("m", F.least("m", "u")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if many:
+            large = stash(large, name)
+        small = lowest(large, many).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         before, edges = edges, stash(small, name)
-        drop(before)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components: no fixpoint after {at_most} rounds")
+        drop(before, *[large] * many)
+        now = state()
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
