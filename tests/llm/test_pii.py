@@ -95,3 +95,81 @@ def test_found_identifiers_give_other_patterns_support(spark):
 def test_context_has_no_limit():
     assert pii.context("a " + "b" * 500 + " " * 300 + "12345", 802) == "a " + "b" * 500
     assert pii.context("only 12345", 5) is None
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for c in ("a", "1", "a.", "1.", "1 ", "+", "(at)", "@", "a@", "1.1.1.", "a(at)"):
+        t = c * (400_000 // len(c))
+        began = time.time()
+        spans = pii.base_spans(t)
+        assert sum(1 for _ in pii.mentions(t, spans)) >= 0 and time.time() - began < 20, c
+
+
+def test_emails_match_the_pattern():
+    import random
+
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice("ab@.@ -_1é") for _ in range(r.randint(0, 30)))
+        assert list(pii.emails(t)) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)], t
+        t = "".join(r.choice("12.. 3é") for _ in range(r.randint(0, 30)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)], t
+
+
+def test_secrets_are_found_by_their_context_alone(spark):
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(40)]
+    docs = [(k, f'{text(k, 5)} token = "{x}" {text(k + 50, 4)}') for k, x in enumerate(hexes[:20])]
+    docs += [(30, f'SHOUTS!! TOKEN = "{hexes[30].upper()}"!! LOUD'), (31, f"the commit {hexes[31]} of the river"), (32, 'token = "none"')]
+    rows = {r["doc_id"]: r for r in pii.pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[k]["spans"].startswith("secret:") and rows[k]["n_added"] == rows[k]["n_spans"] == 1 for k in range(20))
+    assert rows[30]["spans"] == "secret:18:58" and rows[31]["spans"] == rows[32]["spans"] == ""
+
+
+def rounds(texts, threshold, smoothing, min_support):
+    """The same graph, scored in plain Python: by text, the set of added (kind, start, end)."""
+    all_ = [(d, *m) for d, t in enumerate(texts) for m in pii.mentions(t, pii.base_spans(t))]
+    known = {}
+    while True:
+        label = lambda m: m[1] if m[1] >= 0 else known.get(m[4], -1)
+        by, own = {}, {}
+        for m in all_:
+            for p in m[6]:
+                by.setdefault(p, []).append((label(m), m[4]))
+                own[p, m[4], m[1]] = own.get((p, m[4], m[1]), 0) + 1
+        best, added = {}, {}
+        for m in all_:
+            if 0 <= m[1] <= 3:
+                continue
+            for p in m[6]:
+                size = len(by[p]) - (own[p, m[4], m[1]] if m[1] < 0 else 0)
+                for k in range(5):
+                    hits = [x for y, x in by[p] if y == k]
+                    score = len(hits) / (max(size, len(hits)) + smoothing)
+                    if m[5] >> k & 1 and len(set(hits)) >= min_support and score >= threshold:
+                        best[m[4]] = max(best.get(m[4], (0, 0)), (score, -k))
+                        added[m[0], m[2], m[3]] = max(added.get((m[0], m[2], m[3]), (0, 0)), (score, -k))
+        now = {i: -k for i, (_, k) in best.items()}
+        if now == known:
+            return {(d, -k, a, b) for (d, a, b), (_, k) in added.items()}
+        known = now
+
+
+def test_graph_matches_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    cards, before = known_cards(40), ["card number", "billed under", "see the", "paid with card"]
+    texts = []
+    for k in range(160):
+        kind = r.randrange(4)
+        x = [r.choice([r.choice(cards), f"9999-{r.choice('ABC')}-{r.randint(1, 6)}1234"]), f"a{k}@b.cc", f"id{r.randint(1, 9)}", r.choice(["jane(at)home", f"1.2.3.{k}"])][kind]
+        texts.append(f"{text(k, 2)} {before[kind] if r.random() < 0.9 else r.choice(before)} {x} {r.choice(['and so on', 'today', '. End'])}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = rounds(texts, 0.5, 1.0, 3)
+    assert len(want) > 5
+    for row in pii.pii_spans(docs, 0.5, 1.0, 3).collect():
+        base = {(k, a, b) for k, a, b in pii.base_spans(texts[row["doc_id"]])}
+        got = {(pii.ALL_KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in row["spans"].split(",") if x)}
+        assert got - base == {x[1:] for x in want if x[0] == row["doc_id"]} and base <= got
