@@ -54,7 +54,7 @@ def test_rules_and_aliases(spark):
         if r["rule"]:
             assert r["verdict"] == RULES[r["rule"]][2]
     verdict = {r["page_id"]: r["verdict"] for r in rows}
-    assert {i: verdict[i] for i in (2, 3, 5, 7, 8, 9, 11, 12, 13, 14, 15)} == {2: "block", 3: "block", 5: "block", 7: "allow", 8: "allow", 9: "allow", 11: "allow", 12: "allow", 13: "allow", 14: "allow", 15: "block"}
+    assert {i: verdict[i] for i in (2, 3, 5, 7, 8, 9, 11, 12, 13, 14, 15)} == {2: "block", 3: "block", 5: "block", 7: "allow", 8: "allow", 9: "allow", 11: "allow", 12: "block", 13: "block", 14: "allow", 15: "block"}
 
 
 def test_empty(spark):
@@ -72,3 +72,45 @@ def test_entities_in_targets(spark):
     pages = [(1, "https://b.com/en/x?a=1&b=2", None), (2, "https://alias.test/y?a=1&b=2", None), (3, "https://alias.test/z", page("https://b.com/en/x?a=1&amp;b=2", "https://alias.test/y?a=1&amp;b=2"))]
     rows = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["verdict"] for r in rows} == {1: "block", 2: "block", 3: "block"}
+
+
+def test_dots_bases_and_schemes(spark):
+    pages = [
+        (1, "https://b.com/en/x", None),
+        (2, "https://c.test/a/b/c", page("../../x/./y/..")),  # names c.test/x/
+        (3, "https://c.test/x/", page("https://b.com/q/../en/x")),
+        (4, "https://d.test/", '<base target=_self href="//b.com/en/">' + page("x")),
+        (5, "http://e.test/", page("mailto:a@b.com/en/x", "javascript:void(0)", "#x", "")),
+        (6, "https://c.test/a/../x/?q", page("/x/")),
+        (7, "https://f.test", page("..")),
+    ]
+    rows = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in rows} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow"}
+
+
+def test_propagation_matches_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    hosts = [f"h{k}.{r.choice(['com', 'net', 'org', 'test'])}" for k in range(60)]
+    names = [f"https://{h}{r.choice(['/en/1', '/de/2', '/es/3', '/', '/x'])}" for h in hosts]
+    pages = [(k, r.choice(names), page(*r.sample(names, r.choice([0, 0, 1, 1, 2])))) for k in range(90)]
+    label = {n: n for n in names}
+    links = [(u, t) for _, u, h in pages for t in names if f'"{t}"' in h]
+    for _ in names:
+        for u, t in links:
+            label[u] = label[t] = min(label[u], label[t])
+    own = lambda u: RULES[rule(u)][2] if rule(u) else None
+    blocked = {label[n] for n in {u for e in links for u in e} if own(n) == "block"}
+    want = {k: own(u) or ("block" if label[u] in blocked else "allow") for k, u, _ in pages}
+    rows = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in rows} == want and len(set(want.values())) == 2
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    for c in ("targets", "address", "node", "copies", "verdict", "base"):
+        frame = frame.withColumn(c, F.lit("own"))
+    assert urls.url_filter(frame).count() == len(PAGES)

@@ -93,7 +93,7 @@ def spread(rows: DataFrame, told: DataFrame, key: list[str], copies: str) -> Dat
     bound = max(HOT_ROWS, (told.agg(F.sum(copies)).first()[0] or 0) // HOT_KEYS)
     hot = told.where(F.col(copies) > bound).select(*key, F.struct(*rest).alias("_hot"))
     cold = told.where(F.col(copies) <= bound).select(*[F.col(c).alias(f"_{c}") for c in key], F.struct(*rest).alias("_cold"))
-    some = rows.join(F.broadcast(hot), key, "left").withColumn("_first", F.when(F.col("_hot").isNull(), F.col(key[0])).otherwise(F.xxhash64(*rows.columns)))
+    some = rows.join(F.broadcast(hot), key, "left").withColumn("_first", F.when(F.col("_hot").isNull(), F.col(key[0])).otherwise(F.xxhash64(*rows.columns).cast(dict(rows.dtypes)[key[0]])))
     on = (F.col("_first") == F.col(f"_{key[0]}")) & F.col("_hot").isNull()
     for c in key[1:]:
         on = on & (F.col(c) == F.col(f"_{c}"))

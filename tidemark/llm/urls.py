@@ -6,7 +6,9 @@ longest fitting rule decides a url. Pages name other urls as the same document b
 own is blocked if some url of its component is blocked by rule. A url that a rule allows stays allowed, whatever its
 aliases are, but lends that to none of them: else a blocked site could clear itself by naming an allowed page.
 
-Urls are compared without scheme and fragment, host in lower case. Cases: null urls and urls without `://` have empty
+Urls are compared without scheme and fragment, host in lower case, dot segments of paths removed. Targets are read
+with their entities decoded and seen from the page's <base href>, if it has one; those of other schemes than with
+`://` name nothing. Cases: null urls and urls without `://` have empty
 host and path, no rule and no edges, and are allowed; null html has no edges; repeated rows are judged each; edges
 from a page to itself or given twice change nothing; an empty table gives an empty result; other columns are not read.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import decode_entities
-from tidemark.llm._common import components, stash, table
+from tidemark.llm._common import components, drop, spread, stash, table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,10 +33,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it: the optimizer does not unfold lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path (null: null) with its segments . and .. taken in."""
+    add = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    taken = lambda p: F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), add), "/")
+    return bound(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(taken(p), F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(p))
+
+
 def address(url: Column) -> Column:
     """What two urls of one document share: host, path and query; null for no url."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
+    query = lambda u: F.regexp_extract(u, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+    path = lambda u: bound(path_of(u), lambda p: F.when(p == "", "/").otherwise(without_dots(p)))
+    return bound(url, lambda u: F.when(u.contains("://"), F.concat(host_of(u), path(u), query(u))))
 
 
 def rule_columns(host: Column, path: Column, rules: list) -> tuple[Column, Column]:
@@ -55,33 +70,55 @@ def targets(html: Column) -> Column:
 
 
 def resolved(url: Column, target: Column) -> Column:
-    """A target as a whole url, seen from url."""
-    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(url))
-    folder = F.regexp_extract(F.when(path_of(url) == "", "/").otherwise(path_of(url)), r"(?s)^(.*/)", 1)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("https:"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("?"), F.concat(root, path_of(url), target))
-        .when(~target.startswith("#"), F.concat(root, folder, target))
-    )
+    """A target as a whole url, seen from url; null if it names no other document."""
+
+    def of(x: Column) -> Column:
+        u, t = x["u"], x["t"]
+        scheme, path = F.regexp_extract(u, r"(?s)^(.*?)://", 1), path_of(u)
+        root = F.concat(scheme, F.lit("://"), host_of(u))
+        return (
+            F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+            .when(t.startswith("/"), F.concat(root, t))
+            .when(t.startswith("?"), F.concat(root, path, t))
+            .when(~t.startswith("#") & (t != ""), F.concat(root, F.regexp_extract(F.concat(F.lit("/"), path), r"(?s)^/?(/.*/|/)", 1), t))
+        )
+
+    return bound(F.named_struct(F.lit("u"), url, F.lit("t"), target), of)
+
+
+def base_of(url: Column, html: Column) -> Column:
+    """The url that a page's targets are seen from."""
+    given = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<base\s[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    return bound(given, lambda g: F.when(g != "", F.coalesce(resolved(url, decode_entities(g)), url)).otherwise(url))
 
 
 def url_filter(pages: DataFrame, rules: list = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and alias_verdict (what the component says where no rule does)."""
-    one = pages.select("page_id", "url", F.explode(targets(F.col("html"))).alias("target")).withColumn("target", decode_entities(F.col("target")))
-    edges = one.select(address(F.col("url")).alias("a"), address(resolved(F.col("url"), F.col("target"))).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    one = pages.withColumn("targets", targets(F.col("html"))).where(F.size("targets") > 0)
+    one = one.select("url", base_of(F.col("url"), F.col("html")).alias("base"), F.explode("targets").alias("target"))
+    target = bound(F.col("target"), decode_entities)
+    edges = one.select(address(F.col("url")).alias("a"), address(resolved(F.col("base"), target)).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     edges = stash(edges, "url-edges")
-    nodes = stash(edges.select("a").union(edges.select("b")).distinct().select(F.monotonically_increasing_id().alias("node"), F.col("a").alias("address")), "url-nodes")
-    a, b = (nodes.select(F.col("node").alias(k), F.col("address").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    found = components(edges.join(a, "a").join(b, "b").select("u", "v"), "urls")
+    both = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("address")).agg(F.count(F.lit(1)).alias("copies"))
+    nodes = stash(both.select(F.monotonically_increasing_id().alias("node"), "address", "copies"), "url-nodes")
+    told = lambda address, node: nodes.select(F.col("address").alias(address), F.col("node").alias(node), "copies")
+    numbered = spread(spread(edges, told("a", "u"), ["a"], "copies"), told("b", "v"), ["b"], "copies")
+    found = components(numbered.select("u", "v"), "urls")
     whole = F.concat(F.lit("x://"), F.col("address"))
-    known = nodes.join(found, "node").withColumn("own", rule_columns(host_of(whole), path_of(whole), rules)[1])
-    blocked = known.where("own = 'block'").select("component").distinct()
-    aliases = known.where("own is null").join(blocked, "component", "left_semi").select("address", F.lit("block").alias("alias_verdict"))
+    known = nodes.select("node", "address").join(found, "node").withColumn("own", rule_columns(host_of(whole), path_of(whole), rules)[1])
+    known = stash(known, "url-known")
+    says = stash(known.groupBy("component").agg(F.max(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocked"), F.count(F.lit(1)).alias("copies")), "url-components")
+    aliases = spread(known.where("own is null"), says, ["component"], "copies").where("blocked").select("address")
     base = pages.select("page_id", address(F.col("url")).alias("address"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # How many pages have an alias's address, so that one of very many pages is told by broadcast.
+    aliases = base.select("address").join(aliases, "address", "left_semi").groupBy("address").agg(F.count(F.lit(1)).alias("copies"))
+    aliases = stash(aliases.withColumn("alias_verdict", F.lit("block")), "url-aliases")
+    drop(edges, nodes, known, says)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    out = base.join(aliases, "address", "left")
+    # Pages without an address have none's, each another one.
+    out = spread(base.withColumn("address", F.coalesce("address", F.concat(F.lit(" "), F.xxhash64("page_id").cast("string")))), aliases, ["address"], "copies")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("alias_verdict"), F.lit("allow")).alias("verdict"), "alias_verdict")
 
 
