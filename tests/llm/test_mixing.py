@@ -55,3 +55,18 @@ def test_order_of_files_and_odd_cases(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mixing.mixed(empty_docs(spark)).count() == 0 and mixing.in_order(empty_docs(spark)).count() == 0
+
+
+def test_own_columns_named_like_the_mix(spark):
+    docs = spark.createDataFrame([(k, f"src{k % 3}", 7, "x") for k in range(50)], "doc_id long, source string, mix_position long, Mix_slot string")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns + [f"_mix_{c}" for c in ("stream", "block", "slot", "position")]
+    assert sorted(r["_mix_position"] for r in out.collect()) == list(range(50)) and {r["mix_position"] for r in out.collect()} == {7}
+    assert mixing.in_order(docs).columns == docs.columns and mixing.in_order(docs).count() == 50
+
+
+def test_finer_buckets_give_the_same_mix(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"src{k % 3}") for k in range(400)], "doc_id long, source string")
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mixed(docs).collect()}
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0)
+    assert {r["doc_id"]: r["mix_position"] for r in mixing.mixed(docs).collect()} == want

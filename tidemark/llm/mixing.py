@@ -7,12 +7,12 @@ repeats after q slots, so it is planned for one period only, and a block's slot
 source runs out, a new phase begins among the others, in the same way; every row is placed, whatever the weights.
 
 Rows of a source are in the order of md5(doc_id), a fixed shuffle that SQL can repeat. Ranks come from ranks within
-(source, first two hex digits) and the counts of those, so a source with most rows is not gathered in one task.
+(source, first two or three hex digits) and the counts of those, so a source with most rows is not gathered in one task.
 What the driver plans is bounded by the weights: sources times their sum.
 
 Cases: a null source and sources without a weight share one stream, `other`; a null doc_id counts as the text
 `null`; rows of equal doc_id follow each other in any order; an empty table gives an empty result; `mixed` keeps all
-columns of its input under their names.
+columns of its input under their names, and names its own so that none clashes.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tidemark.llm._common import table
 #: Blocks of each source in every 60; `other` is for all the rest.
 WEIGHTS = {"src0": 10, "src1": 6, "src2": 6, "src3": 4, "src4": 4} | {f"src{k}": 2 for k in range(5, 19)} | {"src19": 1, "other": 1}
 BLOCK = 16
+#: Rows of one source that one task ranks, as long as 4,096 buckets do.
+BUCKET_ROWS = 1_000_000
 
 
 def period(weights: dict[str, int]) -> list[str]:
@@ -52,16 +54,30 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[tuple[int, d
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK, prefix: str = "mix_") -> DataFrame:
-    """docs with mix_stream, mix_block (within its stream), mix_slot and mix_position (the row's place in the mix)."""
+def free_prefix(docs: DataFrame, prefix: str = "mix_") -> str:
+    """prefix, after as many underscores as it takes for no column of docs to begin so."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """docs with mix_stream, mix_block (within its stream), mix_slot and mix_position (the row's place in the mix).
+
+    Where docs has a column that begins with mix_, the new ones begin with free_prefix(docs).
+    """
+    prefix = free_prefix(docs)
     spark = docs.sparkSession
     named = [s for s in weights if s != "other"]
     weights = {"other": 1} | weights
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     light = docs.select("doc_id", F.when(F.col("source").isin(named), F.col("source")).otherwise("other").alias("_stream"), md5.alias("_md5"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    light = light.withColumn("_bucket", F.substring("_md5", 1, 2))
-    # At most 256 rows for each weight.
-    counts = sorted(tuple(r) for r in light.groupBy("_stream", "_bucket").agg(F.count(F.lit(1))).collect())
+    # At most 256 rows for each weight; where a bucket would be too much for one task, 4,096.
+    for digits in (2, 3):
+        light = light.withColumn("_bucket", F.substring("_md5", 1, digits))
+        counts = sorted(tuple(r) for r in light.groupBy("_stream", "_bucket").agg(F.count(F.lit(1))).collect())
+        if max([n for _, _, n in counts], default=0) <= BUCKET_ROWS:
+            break
     rows, base = dict.fromkeys(weights, 0), []
     for s, b, n in counts:
         base.append((s, b, rows[s]))
@@ -96,8 +112,8 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK
 
 def in_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK) -> DataFrame:
     """docs, dealt and sorted so that files read one after the other give the mix."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed(docs, weights, block).repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    n, place = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), free_prefix(docs) + "position"
+    return mixed(docs, weights, block).repartitionByRange(n, place).sortWithinPartitions(place).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_pfair_mix(spark, sf_dir):
