@@ -59,3 +59,7 @@ def test_odd_cases(spark):
     none = empty_docs(spark)
     assert language.languages(none, none).count() == 0
     assert {r["lang_pred"] for r in language.languages(docs, none).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(language.has_letter, ("² ½ ³", "12_", "", "Ⅻ ٣"))) and language.has_letter("½é") and language.has_letter("漢")

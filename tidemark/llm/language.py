@@ -2,7 +2,9 @@
 
 For each language that labelled training rows name, raw-content zstandard dictionaries are cut from a bounded sample
 of them: sample_docs rows by language, the first by md5 of doc_id, sample_chars code points from the middle of each.
-The dictionaries (dict_bytes each at most) are all that is broadcast. A whole text, in lower case, is compressed once with each; the
+A dictionary is the last dict_bytes of its pieces, so the
+first of a sample beyond that are left out. At most MOST_LANGS languages are learned, those of most rows; the others
+are never predicted. The dictionaries are all that is broadcast. A whole text, in lower case, is compressed once with each; the
 smallest size wins, ties going to the language with the larger sample, then by name. score is the margin over the next
 language, relative to it; below min_margin the answer is marked as rejected (lang_pred still names the best).
 
@@ -24,8 +26,15 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import table
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 300, 1500, 1 << 18
+#: Languages that are learned, those of most rows first: the bound on what is collected and broadcast.
+MOST_LANGS = 200
 LEVEL, MIN_MARGIN = 3, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: Unicode category L. Python's \w takes numbers like ² and ½ in too, and these are no decimal digits.
+WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORD.finditer(text))
 
 
 def samples(rows: DataFrame, docs: int, chars: int) -> dict[str, list[str]]:
@@ -34,14 +43,14 @@ def samples(rows: DataFrame, docs: int, chars: int) -> dict[str, list[str]]:
     piece = F.substring(F.col("text"), 1 + F.greatest(F.lit(0), F.expr(f"(length(text) - {chars}) div 2")).cast("int"), F.lit(chars))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     some = rows.where("lang is not null and doc_id is not null and length(text) > 0")
-    # One row for each language. Of a language with many rows only those of the lowest md5 are ranked: about four
+    # One row for each language, of at most MOST_LANGS. Of a language with many rows only those of the lowest md5 are ranked: about four
     # times as many as are asked for, so a language with most rows isn't ranked in one task.
-    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (4 * docs + 64) / n))]), F.col("lang"))
     low = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 2.0**32
-    some = some.select("lang", order.alias("order"), piece.alias("piece")).where(low < share)
+    some = some.where(F.col("lang").isin(list(sizes))).select("lang", order.alias("order"), piece.alias("piece")).where(low < share)
     out: dict[str, list[str]] = {}
     for r in some.withColumn("k", rank).where(F.col("k") <= docs).orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(r["piece"])
@@ -63,7 +72,7 @@ def compressors(known: tuple[tuple[str, bytes], ...], level: int):
 
 
 def predict(text: str | None, known: tuple[tuple[str, bytes], ...], level: int = LEVEL) -> tuple[str, float]:
-    if not text or not known or not LETTER.search(text):
+    if not text or not known or not has_letter(text):
         return "und", 0.0
     data = text.lower().encode()
     sizes = [(len(c.compress(data)), k, lang) for k, (lang, c) in enumerate(compressors(known, level))]
