@@ -50,3 +50,10 @@ def test_pairs_match_brute_force_and_sql(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "pair_id long, chosen boolean, turn long, role string, text string")
     assert preferences.format_preferences(none).count() == 0
+
+
+def test_pairs_of_large_and_negative_ids(spark, tmp_path):
+    ids = [2**60, 2**60 + 1, 2**60 + 2, -1, -2, -3]
+    spark.createDataFrame([(k, 0, "user", f"t{k}") for k in ids], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: (r["n_chosen"], r["n_rejected"]) for r in preferences.op4_preference_format(spark, str(tmp_path)).collect()}
+    assert got == {2**59: (1, 1), 2**59 + 1: (1, 0), -1: (1, 1), -2: (0, 1)}

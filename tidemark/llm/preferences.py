@@ -59,13 +59,13 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 def op4_preference_format(spark, sf_dir):
     """Pairs of the whole table: an even conv_id is chosen, the odd one after it rejected."""
     turns = table(spark, sf_dir, "conversations")
-    return format_preferences(turns.select(F.expr("floor(conv_id / 2)").cast("long").alias("pair_id"), F.coalesce(F.expr("conv_id % 2 = 0"), F.lit(True)).alias("chosen"), "turn", "role", "text"))
+    return format_preferences(turns.select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), F.coalesce(F.expr("conv_id % 2 = 0"), F.lit(True)).alias("chosen"), "turn", "role", "text"))
 
 
 OP4_SQL = r"""
-with t as (select cast(floor(conv_id / 2) as bigint) as pair_id, coalesce(conv_id % 2 = 0, true) as is_chosen, role, text,
+with t as (select (conv_id - (conv_id & 1)) // 2 as pair_id, coalesce(conv_id % 2 = 0, true) as is_chosen, role, text,
     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, replace(coalesce(text, ''), '<|', '<\|') || '<|end|>' || chr(10) as body,
-    row_number() over (partition by floor(conv_id / 2), coalesce(conv_id % 2 = 0, true) order by turn nulls first, role nulls first, text nulls first) as k
+    row_number() over (partition by (conv_id - (conv_id & 1)) // 2, coalesce(conv_id % 2 = 0, true) order by turn nulls first, role nulls first, text nulls first) as k
   from conversations),
 pairs as (select pair_id, count(*) filter (where is_chosen) as n_chosen, count(*) filter (where not is_chosen) as n_rejected from t group by pair_id),
 bad as (select a.pair_id, min(a.k) as k from t a join t b on a.pair_id is not distinct from b.pair_id and a.k = b.k and a.is_chosen and not b.is_chosen
