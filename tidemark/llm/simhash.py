@@ -8,7 +8,7 @@ spanning forest of its links, so thousands of copies never become all their pair
 The comparison is exact and so quadratic in distinct fingerprints; the skips lower the constant only.
 
 `simhash_dedup`, the pipeline's stage, takes SimHashes of 128 bits for candidates only and links what has a Jaccard
-similarity of 0.8 or more on exact shingles.
+similarity of 0.8 or more on exact shingles, of five words; the four words and the radius of four bits are op6's.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; shorter texts than a shingle
 hash their whole word sequence; repeated rows stay, each with its component; a null doc_id takes part but is never a
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import components, drop, stash, table
+from tidemark.llm._common import components, drop, spread, stash, table
 
 TILE = 32768
 BLOCK = 1024
@@ -143,18 +143,16 @@ def tiled_links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.repartition(n).mapInPandas(compare, "u long, v long")
 
 
-def grouped(distinct: DataFrame, radius: int) -> DataFrame:
-    """For distinct (fp, first) the component c of each fp."""
-    found = components(tiled_links(distinct, radius), "simhash")
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-
-
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links of at most radius bits reach."""
     marked = stash(fingerprints(docs, size), "fingerprints")
-    of = grouped(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
-    name = of.groupBy("c").agg(F.min("first").alias("component_id"))
-    return marked.join(of.select("fp", "c").join(name, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
+    found = components(tiled_links(distinct, radius), "simhash")
+    of = stash(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("c")), "of")
+    name = stash(of.groupBy("c").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
+    told = stash(spread(of.select("fp", "copies", "c"), name, ["c"], "members").select("fp", "copies", "component_id"), "told")
+    drop(distinct, of, name)
+    return spread(marked, told, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def sketch(text: str | None, size: int) -> tuple[np.ndarray, int, int, int]:
