@@ -41,14 +41,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
-#: White space to a plain space, place by place.
-SPACES = dict.fromkeys(range(9, 14), " ")
+SPACE = re.compile(r"[\x09-\x0D]")
 #: Digit groups joined by spaces, brackets or hyphens, from the start of a token to the end of one.
 RUN = re.compile(r"(?<![^\x20])[+(\[]*[0-9]++(?:[\x20()\[\]-]{1,3}[0-9]++)+(?=[^\w\x20]*(?:\x20|\Z))")
 #: Names joined by marks like (at) and [dot].
 MARKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[{<](?:at|dot|@|\.)[)\]}>]\x20?[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)+", re.I)
 #: What makes a token identifier-like: a digit, an at sign, a dot inside or a mark like (at).
 SIGN = re.compile(r"[0-9]+|@|(?<=[^\W_])\.(?=[^\W_])|[(\[{<](?:at|dot)[)\]}>]", re.I)
+#: Where a SIGN can be, found fast; and whether MARKED can match at all.
+MAYBE = re.compile(r"[0-9@(\[{<]|\.(?=[^\W_])")
+MARK = re.compile(r"[(\[{<](?:at|dot|@|\.)[)\]}>]", re.I)
 SECRET = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}")
 #: What a discovered instance must have to be of a kind: an at sign or mark; four groups of digits; five digits; letters and digits, 16 at least.
 COULD = [
@@ -141,7 +143,7 @@ def words_after(t: str, at: int, n: int) -> list[str]:
 
 def context(text: str, start: int) -> str | None:
     """The two words before start in lower case, if there are two."""
-    words = words_before(text.translate(SPACES), start, 2)
+    words = words_before(SPACE.sub(" ", text), start, 2)
     return f"{words[1]} {words[0]}".lower() if len(words) == 2 else None
 
 
@@ -167,7 +169,9 @@ def patterns(t: str, a: int, b: int) -> list[str]:
 
 def mentions(text: str, seeds: list[tuple[int, int, int]]):
     """(kind number or -1, start, end, instance, kinds it could be of as bits, patterns) of the seeds and of other identifier-like tokens and runs."""
-    t = text.translate(SPACES)
+    if not MAYBE.search(text):
+        return
+    t = SPACE.sub(" ", text)
     of = lambda k, a, b: (k, a, b, short(text[a:b]), sum(f(text[a:b]) << i for i, f in enumerate(COULD)), patterns(t, a, b))
     for k, a, b in seeds:
         yield of(k, a, b)
@@ -183,9 +187,13 @@ def mentions(text: str, seeds: list[tuple[int, int, int]]):
         return a < b and not (k and ends[k - 1] > a)
 
     whole = [m.span() for m in RUN.finditer(t)] if DIGITS.search(t) else []
-    whole = [x for x in sorted(whole + [m.span() for m in MARKED.finditer(t)]) if free(*x)]
+    whole = [x for x in sorted(whole + ([m.span() for m in MARKED.finditer(t)] if MARK.search(t) else [])) if free(*x)]
     k, at = 0, 0
-    while m := SIGN.search(t, at):
+    while maybe := MAYBE.search(t, at):
+        m = SIGN.match(t, maybe.start())
+        if not m:
+            at = maybe.end()
+            continue
         a, b = m.start(), m.end()
         while k < len(whole) and whole[k][1] <= a:
             k += 1
