@@ -63,3 +63,32 @@ def test_partition_is_balanced():
     x = np.array([v for _, v in vectors(640)])
     label = nb.partition(nb.graph(x, 10), 8)
     assert np.bincount(label).tolist() == pytest.approx([80] * 8, abs=1)
+
+
+def test_probes_follow_the_structure():
+    """Clusters are searched in few parts, noise in nearly all; both reach the recall asked for."""
+    rng = np.random.default_rng(2)
+    noise = rng.standard_normal((1600, 32))
+    centres = rng.standard_normal((40, 32)) * 6
+    clusters = centres[rng.integers(0, 40, 1600)] + rng.standard_normal((1600, 32))
+    few, many = nb.fewest_probes(clusters, 16, 0.96), nb.fewest_probes(noise, 16, 0.96)
+    assert few <= 6 < 10 <= many <= 16
+
+
+def test_measured_probes_reach_recall(spark):
+    rows = vectors(1200, 5)
+    got = run(spark, rows, sample=800, parts=12)
+    hit = sum(len({i for _, i in brute(rows, q, 10)} & {i for _, i in found}) for q, found in got.items())
+    assert len(got) == 120 and hit / 1200 > 0.9
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = vectors(40) + [(10, [-9.0] * 8), (10, [9.0] * 8)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    for c in ("v", "part", "block", "chunk", "score", "rank", "query_id"):
+        df = df.withColumn(c, F.lit("own"))
+    got = {r["vec_id"]: r["score"] for r in nb.search(df, df.where("vec_id = 0").select("vec_id"), k=50).collect()}
+    zero, ten = (np.array(v, np.float32).astype(float) for v in (rows[0][1], [-9.0] * 8))
+    assert len(got) == 39 and abs(got[10] - np.sqrt(((zero - ten) ** 2).sum())) < 1e-12
