@@ -13,7 +13,7 @@ from tidemark.llm.simhash import simhash_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or whose posterior quality is under a half go."""
+    """Documents that fail the base rules or whose posterior quality is under quality.THRESHOLD go."""
     return quality_filter(docs)
 
 
@@ -23,7 +23,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents one stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles one stays."""
     return simhash_dedup(docs)
 
 
@@ -37,7 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Files may be read in any order, so the places in the mix are made again from the same rows.
     """
-    return pack(mixed(docs), order="mix_position")
+    return pack(mixed(docs.select("doc_id", "text", "source")), order="mix_position")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_documents), ("pfair_mix", mix_sources), ("best_fit_packing", pack_sequences)]
