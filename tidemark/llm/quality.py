@@ -27,6 +27,10 @@ STOPWORDS = sorted(set(
     "el los las del y se por con su para al es lo como más una"
     .split()))
 
+#: The least posterior probability of being good. Under a half, as rules vote on one text together more often than the
+#: model thinks (votes count as independent given quality), which drives posteriors to the ends: doubt keeps a document.
+THRESHOLD = 0.3
+
 #: name, vote good if, vote bad if; SQL over the counts. Neither: the rule abstains.
 RULES = [
     ("length", "n_words >= 100", "n_words < 20"),
@@ -113,7 +117,7 @@ def posterior(votes: tuple[int, ...], prior: float, probs: list) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
-def judged(features: DataFrame, threshold: float = 0.3) -> DataFrame:
+def judged(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """features (counts(); it is read twice) with the votes, base_failed, p_good and kept."""
     names = [f"vote_{r[0]}" for r in RULES]
     voted = features.select("*", *vote_columns())
