@@ -21,6 +21,6 @@ def test_every_sql_belongs_to_a_query():
 
 def test_whole_texts_are_read(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    read = {r["id"]: r["value"] for r in catalog.QUERIES["whole_without_quotes"](spark, DIR).where("kind = 'document'").collect()}
+    read = {r["id"]: r["value"] for r in catalog.QUERIES["without_quotes"](spark, DIR).where("kind = 'document'").collect()}
     assert read.keys() == docs.keys()
     assert sum(len(x or "") for x in read.values()) > 2 * sum(len((x or "").split("\n")[0]) for x in docs.values())

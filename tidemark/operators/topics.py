@@ -15,8 +15,13 @@ SPECIALIST = rules.SPECIALIST
 
 
 def keyword_hits(text: Column, topic: str) -> Column:
-    """How many groups of the topic's words a plain text holds."""
-    return reduce(lambda a, b: a + b, [F.when(matches(text, p), 1).otherwise(0) for p in rules.KEYWORDS[topic]])
+    """How many groups of the topic's words a plain text holds.
+
+    One scan for any word of any group comes first, as most texts have none.
+    """
+    groups = lambda t: reduce(lambda a, b: a + b, [F.when(matches(t, p), 1).otherwise(0) for p in rules.KEYWORDS[topic]])
+    some = "|".join(f"(?:{p})" for p in rules.KEYWORDS[topic]).replace("(?-i)", "")
+    return let(text, lambda t: F.when(matches(t, some), groups(t)).otherwise(0))
 
 
 def provenance(topic: str, hint: Column, path: Column, categories: Column) -> Column:

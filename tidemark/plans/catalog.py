@@ -13,6 +13,7 @@ from tidemark.functions.urls import clean_url, url_path
 from tidemark.operators import delivery, filters, publish, rank, topics, vectors
 from tidemark.operators.cluster import cluster_items
 from tidemark.operators.evaluate import run_cases, triage
+from tidemark.sources.saved import saved
 from tidemark.plans import oracle
 from tidemark.plans import samples as S
 from tidemark.sources import feeds
@@ -37,14 +38,10 @@ def r6(c, name: str | None = None):
 
 
 def _scalar(name: str, column) -> None:
-    """Registers kind, id, value of a function of a text over all literals, first lines and pages."""
+    """Registers kind, id, value of a function of a text over all literals, documents, first lines of them (as titles) and pages."""
     f = lambda spark, sf_dir: S.texts(spark, sf_dir).select("kind", "id", column(F.col("text")).alias("value"))
     f.__name__ = name
     query(f)
-    # The SQL is over first lines; over whole texts there is none.
-    g = lambda spark, sf_dir: S.whole_texts(spark, sf_dir).select("kind", "id", column(F.col("text")).alias("value"))
-    g.__name__ = f"whole_{name}"
-    query(g)
 
 
 _scalar("decode_entities", T.decode_entities)
@@ -168,7 +165,8 @@ def title_dedupe(spark, sf_dir):
 
 
 def _weights(spark, sf_dir) -> DataFrame:
-    return vectors.term_weights(_admitted(spark, sf_dir), ITEM_KEYS)
+    # Read several times by what weighs terms and compares items.
+    return saved(vectors.term_weights(saved(_admitted(spark, sf_dir)), ITEM_KEYS))
 
 
 @query
@@ -202,8 +200,9 @@ def cluster_assignments(spark, sf_dir):
 @query
 def daily_build(spark, sf_dir):
     """Items to published stories of each edition: admission, vectors, clusters, scores, topics, quota, write-up."""
-    admitted = _admitted(spark, sf_dir)
-    members = admitted.join(cluster_items(admitted, item="item_id"), ITEM_KEYS)
+    # Admission reads every item, what it lets through is small: written once, as all later steps read it.
+    admitted = saved(_admitted(spark, sf_dir))
+    members = saved(admitted.join(cluster_items(admitted, item="item_id"), ITEM_KEYS))
     return rank.build_stories(members, S.now())
 
 
@@ -340,23 +339,6 @@ def flag_urls(spark, sf_dir):
     return S.stories(spark, sf_dir).select("rank", publish.flag_url("example/example").alias("flag"))
 
 
-@query
-def whole_atom_entries(spark, sf_dir):
-    """atom_entries of whole titles and descriptions; no SQL, as for the two below."""
-    return publish.atom_entries(S.stories(spark, sf_dir, True), "2024-01-30T00:00:00Z", "https://site.example.com/")
-
-
-@query
-def whole_push_messages(spark, sf_dir):
-    st = S.stories(spark, sf_dir, True)
-    return publish.build_messages(st, "news", F.lit(10), limit=1 << 30, deliver_at=F.lit("2024-01-30 12:00:00").cast("timestamp"), now=S.now())
-
-
-@query
-def whole_flag_urls(spark, sf_dir):
-    return S.stories(spark, sf_dir, True).select("rank", publish.flag_url("example/example").alias("flag"))
-
-
 @query
 def edition_documents(spark, sf_dir):
     """One JSON document an edition, of the stories that the daily build chooses."""

@@ -20,7 +20,7 @@ ITEMS = f"""(select d.doc_id as item_id, d.doc_id as item_ix, d.source as source
   from (select *, coalesce(text, '') as t, regexp_extract(source, '[0-9]+')::int as k from documents) d left join pages p on p.page_id = d.doc_id)"""
 ITEM_COLS = "item_id item_ix source_id feed_ix source_name outlet lean wire topic_hint title description link published categories edition"
 LITERALS = Q.values(list(enumerate(S.HEADLINES)), "id, text")
-TEXTS = f"select 'literal' as kind, id::bigint as id, text from {LITERALS} union all select 'title', doc_id, split_part(text, chr(10), 1) from documents union all select 'page', page_id, html from pages"
+TEXTS = f"select 'literal' as kind, id::bigint as id, text from {LITERALS} union all select 'title', doc_id, split_part(text, chr(10), 1) from documents union all select 'document', doc_id, text from documents union all select 'page', page_id, html from pages"
 URLS = f"select 'literal' as kind, id::bigint as id, url as x from {Q.values(list(enumerate(S.URLS)), 'id, url')} union all select 'page', page_id, url from pages"
 MEMBERS = f"select * exclude (edition), {DAY} as edition, item_id % 97 as cluster_ix, item_id as member_ix from {ITEMS}"
 MEMBER_COLS = ITEM_COLS + " cluster_ix member_ix"
@@ -258,8 +258,8 @@ SQL["quota_select_seven"] = quota(7, 5) + " select edition, (row_number() over (
 SQL["missed_specialists"] = quota(7, 3) + f", m as (select * from {ORDERS} o where topic <> 'world' and (edition, cluster_ix) not in (select (edition, cluster_ix) from chosen)) select edition, (row_number() over (partition by edition order by outlets_counted desc, cluster_ix))::int as place, cluster_ix, topic, outlets_counted as outlets from m qualify place <= 6"
 
 # --- publishing ---
-STORIES = f"""(select edition, (item_id + 1)::int as rank, 's' || item_id as id, t as topic, upper(t[1]) || t[2:] as label, case when item_id % 5 <> 0 then upper(t) end as short, left(title, 180) as title,
-  case when item_id % 3 <> 0 then left(description, 200) end as summary, link as url, source_name as head, (item_id % 5 + 1)::int as outlets, (item_id % 3 + 1)::int as leans, item_id % 4 <> 0 as covered, left(title, 60) as short_title, lean
+STORIES = f"""(select edition, (item_id + 1)::int as rank, 's' || item_id as id, t as topic, upper(t[1]) || t[2:] as label, case when item_id % 5 <> 0 then upper(t) end as short, title,
+  case when item_id % 3 <> 0 then description end as summary, link as url, source_name as head, (item_id % 5 + 1)::int as outlets, (item_id % 3 + 1)::int as leans, item_id % 4 <> 0 as covered, title as short_title, lean
   from (select *, ['world', 'tech', 'business', 'health'][(item_id % 4)::int + 1] as t from {ITEMS}))"""
 SQL["topic_report"] = f"select edition, {', '.join(f'count(*) filter (where topic = {q(t)}) as {t}' for t in rules.TOPICS)}, count(distinct topic) as topics, count(distinct topic) = 1 as monoculture from {STORIES} group by edition"
 x = Q.xml

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.saved import dealt
+
 NOW = "2024-01-30 00:00:00"
 LEANS = ["left", "center-left", "center", "center-right", "right"]
 HINTS = [None, None, "tech", "business", "health", "science"]
@@ -15,7 +17,7 @@ HEADLINES = [
     "EXCLUSIVE: the secret memo that could topple a minister?",
     "Why the council must act before winter comes again",
     "We should be honest about the river and what it costs us",
-    "Mayor is bold, brave and right about the harbour tunnel",
+    "Mayor is plain, old and wise about the harbour tunnel",
     "Here's why the harbour tunnel matters: what to know",
     "Watch live: rocket launch carries satellite to orbit",
     "Central bank holds interest rates as inflation slows in the region",
@@ -72,8 +74,8 @@ def now():
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as items: the number in the source gives outlet, lean, wire and hint; the first line is the title."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("source_id"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("feed_ix"))
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.col("url").alias("link"))
+    d = dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("source_id"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("feed_ix"))
+    p = dealt(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("item_id"), F.col("url").alias("link"))
     o = F.col("feed_ix") % 14
     pick = lambda values, k: F.get(F.array(*[F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)).cast("array<string>") for v in values]), k)
     published = F.when(F.col("item_id") % 17 != 0, F.timestamp_micros(F.unix_micros(now()) - (F.col("item_id") % 72) * 3_600_000_000))
@@ -90,21 +92,16 @@ def headlines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(HEADLINES)), "id long, text string")
 
 
-def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind, id, text: those of texts() and the whole texts of documents."""
-    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    return texts(spark, sf_dir).unionByName(d)
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind, id, text: the literal headlines, the first lines of documents, and the markup of pages."""
-    d = table(spark, sf_dir, "documents").select(F.lit("title").alias("kind"), F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
-    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return headlines(spark).select(F.lit("literal").alias("kind"), "id", "text").unionByName(d).unionByName(p)
+    """kind, id, text: the literal headlines, documents, their first lines as titles, and the markup of pages."""
+    whole = dealt(table(spark, sf_dir, "documents")).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    d = dealt(table(spark, sf_dir, "documents")).select(F.lit("title").alias("kind"), F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
+    p = dealt(table(spark, sf_dir, "pages")).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    return headlines(spark).select(F.lit("literal").alias("kind"), "id", "text").unionByName(d).unionByName(whole).unionByName(p)
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url")
+    p = dealt(table(spark, sf_dir, "pages")).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url")
     return spark.createDataFrame(list(enumerate(URLS)), "id long, url string").select(F.lit("literal").alias("kind"), "id", "url").unionByName(p)
 
 
@@ -113,14 +110,13 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).drop("edition").withColumns({"edition": F.lit(NOW[:10]), "cluster_ix": F.col("item_id") % 97, "member_ix": F.col("item_id")})
 
 
-def stories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Each item as if it were a story, with short titles and summaries or whole ones."""
-    cut = lambda c, n: F.col(c) if whole else F.substring(c, 1, n)
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item as if it were a story."""
     topic = F.get(F.array(*map(F.lit, ("world", "tech", "business", "health"))), (F.col("item_id") % 4).cast("int"))
     short = F.when(F.col("item_id") % 5 != 0, F.upper(topic))
-    cover = F.struct(F.col("source_name").alias("source"), F.col("source_id").alias("sourceId"), "lean", cut("title", 60).alias("title"), F.col("link").alias("url"))
+    cover = F.struct(F.col("source_name").alias("source"), F.col("source_id").alias("sourceId"), "lean", "title", F.col("link").alias("url"))
     return items(spark, sf_dir).select(
         "edition", (F.col("item_id") + 1).cast("int").alias("rank"), F.concat(F.lit("s"), "item_id").alias("id"), topic.alias("topic"), F.initcap(topic).alias("topicLabel"), short.alias("topicShort"),
-        cut("title", 180).alias("title"), F.when(F.col("item_id") % 3 != 0, cut("description", 200)).alias("summary"), F.col("link").alias("url"), F.col("source_name").alias("headlineSource"),
+        "title", F.when(F.col("item_id") % 3 != 0, F.col("description")).alias("summary"), F.col("link").alias("url"), F.col("source_name").alias("headlineSource"),
         (F.col("item_id") % 5 + 1).cast("int").alias("sourceCount"), (F.col("item_id") % 3 + 1).cast("int").alias("leanCount"), F.when(F.col("item_id") % 4 == 0, F.array().cast("array<struct<source:string,sourceId:string,lean:string,title:string,url:string>>")).otherwise(F.array(cover)).alias("coverage"),
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.saved import shared_dir
+
 from tidemark.functions.text import title_key
 from tidemark.operators.filters import newsworthy
 from tidemark.sources.feeds import ITEM
@@ -72,12 +73,3 @@ def drained(updates: DataFrame, name: str, key: list[str]) -> DataFrame:
     rest = [c for c in columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r"))
     return last.select(*key, *[F.col("r").getField(c).alias(c) for c in rest])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests, one machine), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
