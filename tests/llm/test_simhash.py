@@ -130,3 +130,16 @@ def test_large_groups_of_near_copies_become_one(spark):
     base = [f"w{k}" for k in range(200)]
     docs = [(k, " ".join([*base, f"end{k}"])) for k in range(3000)]
     assert [r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [0]
+
+
+def test_minima_tell_similar_sets_from_others():
+    """Sets of 100 shingles: of similarity 0.8 nearly all pass, of 0.6 hardly any."""
+    rng, passed = np.random.default_rng(3), {}
+    for common, own in ((80, 10), (60, 20)):
+        far = []
+        for _ in range(400):
+            x = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
+            a, b = (np.frombuffer(simhash.minima(h), "<u8") for h in (x[: common + own], np.concatenate([x[:common], x[common + own :]])))
+            far.append(int(simhash.apart(a, b)))
+        passed[common] = sum(f <= simhash.APART for f in far) / 400
+    assert passed[80] >= 0.98 and passed[60] <= 0.1 and simhash.minima(np.array([], np.uint64)) == bytes(64)

@@ -27,6 +27,8 @@ from tidemark.llm._common import components, drop, spread, stash, table
 
 TILE = 32768
 BLOCK = 1024
+#: Rows of a block that are compared with another block at once.
+STRIP = 64
 
 
 def fingerprint(text: str | None, size: int, seed: int = 42) -> int:
@@ -175,39 +177,81 @@ def sketch(text: str | None, size: int) -> tuple[np.ndarray, int, int, int]:
     return hashes, digest(hashes.astype("<u8").tobytes()), *words
 
 
-def candidates(a: np.ndarray, b: np.ndarray, same: bool, radius: int, thin: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of two tiles (NODE, sorted by n) that 128 bits and sizes let be similar, of different labels.
+#: How many smallest hashes a set is told apart by, two bits of each; at similarity 0.8 38 of them differ, sd 6.
+MINIMA, APART = 256, 56
+_ODD = np.random.default_rng(23).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.random.default_rng(29).integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+
+
+def minima(hashes: np.ndarray) -> bytes:
+    """Two bits each of the smallest of the hashes under MINIMA mixings: of sets of similarity s a share of 0.75 * (1 - s) differs."""
+    if not len(hashes):
+        return bytes(MINIMA // 4)
+    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        low = np.minimum(low, ((hashes[k : k + 1024, None] ^ _SALT) * _ODD).min(0))
+    # Mixed once more: the lowest bits of a product are those of its factors, the highest of a minimum are zero.
+    mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    two = (mixed >> np.uint64(62)).astype(np.uint8)
+    return np.packbits(np.stack([two >> 1, two & 1], axis=1).ravel()).tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of minima (uint64 words) how many pairs of bits differ."""
+    z = a ^ b
+    return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+
+
+def close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j of pairs of rows of two blocks that bits, sizes and labels let be linked, and how many bits differ.
+
+    Some rows at a time, so that blocks full of near copies take no more memory than others.
+    """
+    out = []
+    for a in range(0, len(x), STRIP):
+        i, j = np.nonzero(np.bitwise_count(x["f1"][a : a + STRIP, None] ^ y["f1"]) <= radius * 3 // 4)
+        i += a
+        good = x["label"][i] != y["label"][j]
+        i, j = i[good], j[good]
+        n, m = x["n"][i], y["n"][j]
+        good = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+        i, j = i[good], j[good]
+        bits = np.bitwise_count(x["f1"][i] ^ y["f1"][j]) + np.bitwise_count(x["f2"][i] ^ y["f2"][j])
+        good = bits <= radius
+        i, j, bits = i[good], j[good], bits[good]
+        good = apart(x["m"][i], y["m"][j]) <= APART
+        out.append((i[good].astype(np.int32), j[good].astype(np.int32), bits[good]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def candidates(a: np.ndarray, b: np.ndarray, same: bool, radius: int, thin: bool):
+    """Yields (u, v, thinned): pairs of rows of two tiles (NODE, sorted by n) that 128 bits and sizes let be similar, of different labels.
 
     With thin, a pair of blocks with very many gives only the nearest partner of each row; the flag tells of it.
     """
-    us, vs, thinned = [], [], False
     for k in range(0, len(a), BLOCK):
         x = a[k : k + BLOCK]
         for m in range(k if same else 0, len(b), BLOCK):
             y = b[m : m + BLOCK]
             if 5 * x["n"][-1] < 4 * y["n"][0] or 5 * y["n"][-1] < 4 * x["n"][0]:
                 continue
-            i, j = np.nonzero(np.bitwise_count(x["f1"][:, None] ^ y["f1"]) <= radius * 3 // 4)
-            p, q = x[i], y[j]
-            bits = np.bitwise_count(p["f1"] ^ q["f1"]).astype(np.int64) + np.bitwise_count(p["f2"] ^ q["f2"])
-            good = (bits <= radius) & (p["label"] != q["label"]) & (5 * np.minimum(p["n"], q["n"]) >= 4 * np.maximum(p["n"], q["n"]))
+            i, j, bits = close(x, y, radius)
             if same and k == m:
-                good &= i < j
-            i, j, bits = i[good], j[good], bits[good]
-            if thin and len(i) > 4 * BLOCK:
+                i, j, bits = i[i < j], j[i < j], bits[i < j]
+            thinned = thin and len(i) > 4 * BLOCK
+            if thinned:
                 order = np.argsort(bits, kind="stable")
                 order = np.unique(np.concatenate([order[np.unique(side[order], return_index=True)[1]] for side in (i, j)]))
-                i, j, thinned = i[order], j[order], True
-            us.append(x["node"][i]), vs.append(y["node"][j])
-    none = np.array([], np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs]), thinned
+                i, j = i[order], j[order]
+            if len(i):
+                yield x["node"][i], y["node"][j], thinned
 
 
-NODE = np.dtype([("node", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("label", "<i8")])
+NODE = np.dtype([("node", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("label", "<i8"), ("m", "<u8", MINIMA // 32)])
 
 
 def candidate_pairs(nodes: DataFrame, radius: int, thin: bool) -> DataFrame:
-    """u, v, thinned: the candidates among nodes (node, n, f1, f2, label); a row without u tells of thinned blocks only.
+    """u, v, thinned: the candidates among nodes (node, n, f1, f2, m, label); a row without u tells of thinned blocks only.
 
     Sets of similarity 0.8 differ in size by a quarter at most, so their classes of size are the same or neighbours.
     """
@@ -227,6 +271,7 @@ def candidate_pairs(nodes: DataFrame, radius: int, thin: bool) -> DataFrame:
             out[c] = pdf[c].to_numpy()
         for c in ("f1", "f2"):
             out[c] = pdf[c].to_numpy().view(np.uint64)
+        out["m"] = np.frombuffer(b"".join(map(bytes, pdf["m"])), "<u8").reshape(len(pdf), -1)
         return pd.DataFrame({"class": [key[0]], "part": [key[1]], "blob": [out[np.argsort(out["n"], kind="stable")].tobytes()]})
 
     tiles = stash(dealt.groupBy("class", "part").applyInPandas(tile, "class int, part long, blob binary"), "tiles")
@@ -237,8 +282,8 @@ def candidate_pairs(nodes: DataFrame, radius: int, thin: bool) -> DataFrame:
     def compare(batches):
         for pdf in batches:
             for a, b, same in zip(pdf["a"], pdf["b"], pdf["same"]):
-                u, v, thinned = candidates(np.frombuffer(a, NODE), np.frombuffer(b, NODE), bool(same), radius, thin)
-                yield pd.DataFrame({"u": u, "v": v, "thinned": np.full(len(u), thinned)})
+                for u, v, thinned in candidates(np.frombuffer(a, NODE), np.frombuffer(b, NODE), bool(same), radius, thin):
+                    yield pd.DataFrame({"u": u, "v": v, "thinned": np.full(len(u), thinned)})
 
     return pairs.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(compare, "u long, v long, thinned boolean")
 
@@ -270,7 +315,7 @@ def similar_components(docs: DataFrame, nodes: DataFrame, size: int, radius: int
     """
     known, labels = None, nodes.select("node", F.col("node").alias("c"))
     for thin in (True, True, False):
-        labelled = nodes.join(labels, "node").select("node", "n", "f1", "f2", F.col("c").alias("label"))
+        labelled = nodes.join(labels, "node").select("node", "n", "f1", "f2", "m", F.col("c").alias("label"))
         pairs = stash(candidate_pairs(labelled, radius, thin), "candidates")
         links = similar_links(docs, nodes, pairs, size)
         known = links if known is None else known.union(links)
@@ -286,20 +331,25 @@ def simhash_dedup(docs: DataFrame, size: int = 5, radius: int = 30) -> DataFrame
 
     Documents are linked if the Jaccard similarity of their sets of shingles is 0.8 or more. Candidates are pairs
     whose SimHashes of 128 bits differ in at most radius bits; at 0.8 about 19 differ, so 30 miss under one in a
-    hundred. Where several rows have that doc_id and text, one of them stays.
+    hundred. Short texts have coarse SimHashes, so candidates' smallest hashes are compared too (APART). Where several rows have that doc_id and text, one of them stays.
     """
 
     # Rows are found again by doc_id and a hash of the text, so no copy of the texts is made.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("hash"))
 
-    @F.pandas_udf("node long, n long, f1 long, f2 long")
+    @F.pandas_udf("node long, n long, f1 long, f2 long, m binary")
     def marks(text: pd.Series) -> pd.DataFrame:
-        rows = [(h, len(x), f, g) for x, h, f, g in (sketch(t, size) for t in text)]
-        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 4).view(np.int64), columns=["node", "n", "f1", "f2"])
+        rows, ms = [], []
+        for x, h, f, g in (sketch(t, size) for t in text):
+            rows.append((h, len(x), f, g))
+            ms.append(minima(x))
+        out = pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 4).view(np.int64), columns=["node", "n", "f1", "f2"])
+        out["m"] = ms
+        return out
 
     marked = stash(docs.select("doc_id", F.xxhash64("text").alias("hash"), marks("text").alias("m")).select("doc_id", "hash", "m.*"), "marked")
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    nodes = stash(marked.groupBy("node").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("n", "f1", "f2")]), "nodes")
+    nodes = stash(marked.groupBy("node").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("n", "f1", "f2", "m")]), "nodes")
     drop(marked)
     of = nodes.select("node", "first").join(similar_components(docs, nodes, size, radius), "node")
     best = stash(of.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash")), "kept")
