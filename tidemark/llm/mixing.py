@@ -119,3 +119,26 @@ def in_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BL
 def op1_pfair_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixed(docs).select("doc_id", "source", "mix_stream", "mix_block", "mix_slot", "mix_position")
+
+
+#: Slot by slot in a recursion over lists, a place for each source in the order of names: blocks done in the phase, blocks left, taking part.
+OP1_SQL = """
+with recursive w(s, a) as (values ('other', 1), ('src0', 10), ('src1', 6), ('src2', 6), ('src3', 4), ('src4', 4), ('src5', 2), ('src6', 2), ('src7', 2), ('src8', 2), ('src9', 2),
+    ('src10', 2), ('src11', 2), ('src12', 2), ('src13', 2), ('src14', 2), ('src15', 2), ('src16', 2), ('src17', 2), ('src18', 2), ('src19', 1)),
+d as (select doc_id, source, case when source in (select s from w) then source else 'other' end as s, md5(coalesce(doc_id::varchar, 'null')) as h from documents),
+r as (select *, row_number() over (partition by s order by h, doc_id) - 1 as k from d),
+n as (select s, (count(*) + 15) // 16 as blocks from r group by s),
+src as (select list(s order by s) as names, list(a order by s) as aa, list(coalesce(blocks, 0) order by s) as bb, range(1, count(*) + 1) as places from w left join n using (s)),
+run(slot, t, done, remain, active, pick) as (
+  select -1::bigint, 0::bigint, list_transform(bb, lambda x: 0::bigint), list_transform(bb, lambda x: x::bigint), list_transform(bb, lambda x: x > 0), 0::bigint from src
+  union all
+  select slot + 1, t + 1, list_transform(places, lambda i: done[i] + (i = pick)::bigint), list_transform(places, lambda i: remain[i] - (i = pick)::bigint), active, pick
+  from (select *, list_min(list_transform(list_filter(places, lambda i: active[i] and done[i] * q // aa[i] <= t), lambda i: ((done[i] + 1) * q + aa[i] - 1) // aa[i] * 1000 + i))::bigint % 1000 as pick
+    from (select *, list_sum(list_transform(places, lambda i: case when active[i] then aa[i] else 0 end))::bigint as q
+      from (select slot, remain, aa, places, case when ended then 0 else t end as t, case when ended then list_transform(done, lambda x: 0::bigint) else done end as done,
+          case when ended then list_transform(remain, lambda x: x > 0) else active end as active
+        from (select run.*, aa, places, len(list_filter(places, lambda i: active[i] and remain[i] = 0)) > 0 as ended from run, src where list_sum(remain) > 0))))),
+b as (select names[pick] as s, slot, row_number() over (partition by pick order by slot) - 1 as block from run, src where pick > 0)
+select doc_id, source, s as mix_stream, block::bigint as mix_block, slot as mix_slot, (row_number() over (order by slot, k) - 1)::bigint as mix_position
+from r join b using (s) where r.k // 16 = b.block
+"""
