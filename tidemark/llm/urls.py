@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import decode_entities
 from tidemark.llm._common import components, drop, spread, stash, table
+from tidemark.plans.sql import Chain, decode
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,3 +125,41 @@ def url_filter(pages: DataFrame, rules: list = RULES) -> DataFrame:
 
 def op9_redirect_equivalence(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _op9_sql() -> str:
+    """The judgement in DuckDB SQL: addresses by RE2, blocked aliases by a recursion over the edges."""
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    take = "list_reduce(string_split(p, '/'), lambda d, x: case x when '.' then d when '..' then d[1:greatest(len(d) - 1, 1)] else list_append(d, x) end, []::varchar[])"
+    clean = f"case when regexp_matches(p, '/\\.\\.?(/|$)') then array_to_string({take}, '/') || case when regexp_matches(p, '/\\.\\.?$') then '/' else '' end when p = '' then '/' else p end"
+    address = lambda u: f"case when contains({u}, '://') then {host(u)} || list_transform([{path(u)}], lambda p: {clean})[1] || regexp_extract({u}, '(?s)^.*?://[^?#]*(\\?[^#]*)?', 1) end"
+    scheme = lambda u: f"regexp_extract({u}, '(?s)^(.*?)://', 1)"
+    seen = lambda u, t: f"""case when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {t} when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+      when {t} like '//%' then {scheme(u)} || ':' || {t} when {t} like '/%' then {scheme(u)} || '://' || {host(u)} || {t} when {t} like '?%' then {scheme(u)} || '://' || {host(u)} || {path(u)} || {t}
+      when {t} <> '' and {t} not like '#%' then {scheme(u)} || '://' || {host(u)} || regexp_extract('/' || {path(u)}, '(?s)^/?(/.*/|/)', 1) || {t} end"""
+    space, value = "[\\t-\\r ]", "[\"'']?[\\t-\\r ]*([^\"''\\t-\\r >]+)"
+    named = lambda tag, has, value_of: f"list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<{tag}{space}[^>]*>'), lambda x: regexp_matches(x, '(?is){space}{has}')), lambda x: regexp_extract(x, '(?is){value_of}', 1))"
+    links = named("link", f"rel{space}*={space}*[\"'']?{space}*canonical\\b", f"{space}href{space}*={space}*{value}")
+    moves = named("meta", f"http-equiv{space}*={space}*[\"'']?{space}*refresh\\b", f"[;\\t-\\r ]url{space}*={space}*{value}")
+    base = f"regexp_extract(coalesce(html, ''), '(?is)<base{space}[^>]*?\\bhref{space}*={space}*{value}', 1)"
+    named_urls = Chain(f"select url, {base} as base, unnest(list_concat({links}, {moves})) as target from pages", "url base target")
+    decode(decode(named_urls, "base"), "target")
+    named_urls.set(seen_from=f"coalesce({seen('url', 'base')}, url)")
+    edges = named_urls.done(f"distinct {address('url')} as a, {address(seen('seen_from', 'target'))} as b").replace("with ", "", 1).replace("\nselect ", ",\ne as (select ", 1) + " where target <> '')"
+    own = lambda h, p, what: f"(select {what} from rules where ({h} = h or ends_with({h}, '.' || h)) and starts_with({p}, p) order by length(h || p) desc limit 1)"
+    return f"""
+with recursive rules(v, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+{edges},
+link as (select a, b from e where a <> b union select b, a from e where a <> b),
+node as (select address, {host("'x://' || address")} as h0, {path("'x://' || address")} as p0 from (select distinct a as address from link)),
+known as (select address, {own('h0', 'p0', 'v')} as own from node),
+reached(address) as (select address from known where own = 'block' union select b from reached join link on a = address),
+page as (select page_id, {address('url')} as address, {host('url')} as host, {path('url')} as path from pages),
+alias as (select address, 'block' as alias_verdict from reached join known using (address) where own is null),
+judged as (select *, {own('host', 'path', 'h || p')} as rule, {own('host', 'path', 'v')} as said from page)
+select page_id, host, path, rule, coalesce(said, alias_verdict, 'allow') as verdict, alias_verdict from judged left join alias using (address)
+"""
+
+
+OP9_SQL = _op9_sql()
