@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+import duckdb
+
+from tests.compare import difference
 from tests.llm.helpers import empty_docs, odd_docs, text
 from tidemark.llm import line_dedup as ld
 
@@ -124,3 +127,11 @@ def test_every_window_is_probed():
             a, b = sorted((a, b), key=len)
             if len(a) > 2 * edits + 1 and distance(a, b) <= edits:
                 assert pieces(a, edits, True) & pieces(b, edits, False)
+
+
+def test_sql_gives_the_same_lines(spark, tmp_path):
+    rows = sample(7, 60) + [(-5, sample(7)[3][1] + "\n Read more\nRead more\r"), (None, sample(7)[4][1]), (3, sample(7)[3][1]), (-5, "abcdef\nabcdeé\nab\nab\n漢字漢字漢字x\n漢字漢字漢字")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), ld.op7_line_dedup, ld.OP7_SQL) == ""

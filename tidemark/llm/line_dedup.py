@@ -217,3 +217,25 @@ def op7_line_dedup(spark, sf_dir):
     out = line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     doc, line = place_parts(F.col("class_place"))
     return out.select("doc_id", "line_no", doc.alias("class_doc_id"), line.alias("class_line_no"), "n_links", "kept")
+
+
+#: Levenshtein of DuckDB counts bytes: it decides between ASCII lines. Others within 4 bytes an edit are told by rows of the edit table, made for two insertions at most.
+OP7_SQL = r"""
+with recursive docs as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+line as (select doc_id, unnest(range(len(ls)))::int as line_no, unnest(ls) as line from docs),
+own as (select *, regexp_matches(line, '[^\x20\x09-\x0D]') as takes_part, {'none': doc_id is null, 'doc_id': coalesce(doc_id, 0), 'line_no': line_no} as place from line),
+d as materialized (select line, length(line) as n, strlen(line) = length(line) as plain, min(place) as place, row_number() over () as id from own where takes_part group by line),
+cand as materialized (select a.id as a, b.id as b, a.line as x, b.line as y, a.plain and b.plain as plain
+  from d a join d b on b.n between a.n and a.n + 2 and (b.n > a.n or a.id < b.id) and a.n >= 6 and case when a.plain and b.plain then levenshtein(a.line, b.line) <= 2 else levenshtein(a.line, b.line) <= 8 end),
+told as (select a, b, plain or list_reduce(string_split(y, ''),
+    lambda prev, c: list_transform([list_transform(range(1, length(x) + 2), lambda i: least(prev[i] + 1, case when i > 1 then prev[i - 1] + (substr(x, i - 1, 1) <> c)::bigint end))],
+      lambda tmp: list_transform(range(1, length(x) + 2), lambda i: least(tmp[i], case when i > 1 then tmp[i - 1] + 1 end, case when i > 2 then tmp[i - 2] + 2 end)))[1],
+    range(0, length(x) + 1))[length(x) + 1] <= 2 as near from cand),
+link as materialized (select a, b from told where near union all select b, a from told where near),
+reach(id, other) as (select distinct a, a from link union select reach.id, link.b from reach join link on link.a = reach.other),
+class as (select reach.id, min(place) as class_place from reach join d on d.id = reach.other group by reach.id),
+ends as (select a as id, count(*) as n_links from link group by a),
+verdict as (select line, coalesce(class_place, place) as class_place, coalesce(n_links, 0) as n_links from d left join class using (id) left join ends using (id)),
+out as (select own.doc_id, own.line_no, place, coalesce(v.class_place, place) as c, coalesce(v.n_links, 0)::bigint as n_links from own left join verdict v on takes_part and own.line = v.line)
+select doc_id, line_no, case when not c.none then c.doc_id end as class_doc_id, c.line_no as class_line_no, n_links, c = place as kept from out
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language import op3_language_id
-from tidemark.llm.line_dedup import op7_line_dedup
+from tidemark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_pfair_mix
 from tidemark.llm.neighbours import op2_learned_partitions
 from tidemark.llm.packing import op8_best_fit_packing
@@ -17,4 +17,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pfair_mix, op2_learned_partitions, op3_language_id, op4_preference_format, op5_quality_rules, op6_simhash, op7_line_dedup, op8_best_fit_packing, op9_redirect_equivalence, op10_bootstrapped_pii)
 }
-ORACLE: dict[str, str] = {"op1_pfair_mix": OP1_SQL, "op4_preference_format": OP4_SQL, "op9_redirect_equivalence": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_pfair_mix": OP1_SQL, "op4_preference_format": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_redirect_equivalence": OP9_SQL}
