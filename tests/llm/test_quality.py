@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import duckdb
+
+from tests.compare import difference
 from tests.llm.helpers import empty_docs, odd_docs, odd_rows, text
 from tidemark.llm import quality
 
@@ -71,3 +74,10 @@ def test_junk_goes_and_clean_stays(spark):
     junk = [(100 + i, " ".join(w + "***$$$" for w in text(i, 150).split())) for i in range(8)]
     kept = {r["doc_id"] for r in quality.quality_filter(spark.createDataFrame(clean + junk, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in clean}
+
+
+def test_sql_gives_the_same_verdicts(spark, tmp_path):
+    odd_docs(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), quality.op5_quality_rules, quality.OP5_SQL) == ""

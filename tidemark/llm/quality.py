@@ -147,3 +147,39 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def op5_quality_rules(spark, sf_dir):
     report = quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+#: The rules' counts by windows of rows, and expectation-maximisation as a recursion over lists, a place for each pattern of votes.
+OP5_SQL = rf"""
+with recursive w as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+win as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as found from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+cover as (select r, count(distinct i + o) as n from win, (values (0), (1), (2)) as s(o) where found > 1 group by r),
+c as materialized (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) as n_upper, length(t) - length(replace(t, '!', '')) as n_shouts,
+    len(list_filter(ws, lambda x: x in ({", ".join(f"'{x}'" for x in STOPWORDS)}))) as n_stopwords,
+    len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from w left join cover using (r)),
+v as materialized (select *, [
+    case when n_words < 20 then 0 when n_words >= 100 then 2 else 1 end,
+    case when n_repeat_words > 0.4 * n_words then 0 when n_repeat_words < 0.1 * n_words then 2 else 1 end,
+    case when n_dup_lines > 0.3 * n_lines then 0 when n_dup_lines = 0 then 2 else 1 end,
+    case when n_symbols > 0.1 * word_chars then 0 when n_symbols <= 0.02 * word_chars then 2 else 1 end,
+    case when n_upper > 0.4 * word_chars then 0 when n_upper <= 0.1 * word_chars then 2 else 1 end,
+    case when n_shouts > 0.2 * n_words then 0 when n_shouts <= 0.02 * n_words then 2 else 1 end,
+    case when n_stopwords < 0.02 * n_words then 0 when n_stopwords >= 0.1 * n_words then 2 else 1 end,
+    case when word_chars > 12 * n_words or word_chars < 2 * n_words then 0 when word_chars between 3 * n_words and 10 * n_words then 2 else 1 end] as votes from c),
+p as (select list(votes order by votes) as pp, list(n order by votes) as nn, list((case when list_contains(votes, 0) then 0.1 else 0.95 end)::double order by votes) as g
+  from (select votes, count(*)::double as n from v group by votes)),
+em(k, g) as (
+  select 0, g from p
+  union all
+  select k + 1, list_transform(pp, lambda x: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j: ln(good[j][x[j] + 1] / list_sum(good[j]) / (bad[j][x[j] + 1] / list_sum(bad[j])))))))))
+  from (select k, pp, least(0.999, greatest(0.001, (list_sum(list_transform(nn, lambda n, i: n * g[i])) + 1) / (list_sum(nn) + 2)))::double as prior,
+      list_transform(range(1, 9), lambda j: list_transform([0, 1, 2], lambda vote: 0.5::double + list_sum(list_transform(nn, lambda n, i: case when pp[i][j] = vote then n * g[i] else 0 end)))) as good,
+      list_transform(range(1, 9), lambda j: list_transform([0, 1, 2], lambda vote: 0.5::double + list_sum(list_transform(nn, lambda n, i: case when pp[i][j] = vote then n * (1 - g[i]) else 0 end)))) as bad
+    from (select k, em.g, pp, nn from em, p where k < 60))),
+post as (select unnest(pp) as votes, unnest(em.g) as g from em, p where k = 60)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and g >= 0.3 as kept, round(g, 6) as p_good
+from v join post using (votes)
+"""
