@@ -143,3 +143,12 @@ def test_minima_tell_similar_sets_from_others():
             far.append(int(simhash.apart(a, b)))
         passed[common] = sum(f <= simhash.APART for f in far) / 400
     assert passed[80] >= 0.98 and passed[60] <= 0.1 and simhash.minima(np.array([], np.uint64)) == bytes(64)
+
+
+def test_query_gives_hexadecimal_fingerprints(spark, tmp_path):
+    rows = [(d, t if t is None or len(t) < 9000 else t[:9000]) for d, t, *_ in odd_rows() if d is not None] + [(-4, "Only Three Words"), (40, "only three\u00a0words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = simhash.op6_simhash(spark, str(tmp_path)).collect()
+    want = {d: slow(t, 4) for d, t in rows}
+    assert len(out) == len(rows) and {r["doc_id"]: r["fingerprint"] for r in out} == {d: f"{x:016x}" for d, x in want.items()}
+    assert {r["doc_id"]: r["component_id"] for r in out} == groups(list(want.items()), 4)
