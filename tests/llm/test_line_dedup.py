@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.compare import difference
 from tests.llm.helpers import empty_docs, odd_docs, text
@@ -135,3 +136,26 @@ def test_sql_gives_the_same_lines(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert difference(spark, con, str(tmp_path), ld.op7_line_dedup, ld.OP7_SQL) == ""
+
+
+def test_few_pairs_are_verified_in_a_group_of_near_copies(spark, monkeypatch):
+    """Lines that share two of three segments but are three to eight edits apart hardly meet; no pair within the edits is lost."""
+    r, base = random.Random(4), text(4, 50)[:45]
+    lines = [base[:at] + "".join(r.choice("bcdfgklmpuvwy") for _ in range(4)) + base[at:] for at in r.choices(range(8), k=90)]
+    docs = list(enumerate([*lines, *(edited(r, x, 2) for x in lines[:10])]))
+    met, kept = {}, ld.stash
+    monkeypatch.setattr(ld, "stash", lambda df, name: met.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(ld, "drop", lambda *dfs: None)
+    got = ld.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), 2, 20).collect()
+    assert {(x["doc_id"], x["line_no"]): (int(x["class_place"]) // ld.PLACE, int(x["class_place"]) % ld.PLACE, x["n_links"], x["kept"]) for x in got} == brute(docs, 2, 20)
+    assert met["line-links"].count() == 30 and met["line-pairs"].count() <= 1000
+
+
+def test_parities_lose_no_pair_within_the_edits(spark):
+    r, rows = random.Random(6), []
+    for _ in range(3000):
+        a = "".join(r.choice("abé漢A ") for _ in range(r.randint(6, 40)))
+        rows.append(tuple(sorted((a, edited(r, a, r.randint(0, 2))), key=len)))
+    sides = "struct(length({0}) as n, {0}_par as par) as {0}"
+    both = spark.createDataFrame(rows, "x string, y string").withColumns({f"{c}_par": ld.parities(F.col(c)) for c in "xy"})
+    assert both.selectExpr(sides.format("x"), sides.format("y")).where(f"not ({ld.near_parities('x', 'y', 2)})").count() == 0

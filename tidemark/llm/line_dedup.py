@@ -7,9 +7,9 @@ windows of different lengths that name the same piece of the line are one key, a
 
 Text is never shuffled or written but for lines that share a key with another. Documents are read for hashes and keys
 of each line, summed by the line's 128-bit hash before the shuffle; keys of one line only are summed away next. The
-join of what is left carries keys, line numbers, lengths and letter counts, whose distance edits bound. What passes
-is verified by a banded bit-parallel edit automaton: 2k + 1 diagonals by k + 1 edit counts packed in one integer,
-moved on by each character.
+join of what is left carries keys, line numbers, lengths, letter counts and parities of characters and of pairs of
+neighbours, whose distances edits bound. What passes is verified by a banded bit-parallel edit automaton: 2k + 1
+diagonals by k + 1 edit counts packed in one integer, moved on by each character.
 
 Links make classes (connected components). In every class the first line, by (doc_id, line_no), stays.
 
@@ -69,6 +69,31 @@ def near_signatures(a: str, b: str, edits: int) -> str:
     return f"{' + '.join(parts)} <= {2 * edits}"
 
 
+def parities(line: Column) -> Column:
+    """Which bits an odd number of the line's characters fall on (one, a long), and of its pairs of neighbours by their hash (low and high)."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("before"), *[zero.alias(k) for k in ("one", "low", "high")])
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    def step(x: Column, c: Column) -> Column:
+        h = F.xxhash64(x["before"], c)
+        first = h.bitwiseAND(F.lit(64)) == 0
+        two = {"low": F.when(first, bit(h)).otherwise(zero), "high": F.when(first, zero).otherwise(bit(h))}
+        return F.struct(c.alias("before"), *[x[k].bitwiseXOR(v).alias(k) for k, v in {"one": bit(F.ascii(c)), **two}.items()])
+
+    return F.aggregate(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), start, step, lambda x: F.struct(x["one"], x["low"], x["high"]))
+
+
+def near_parities(a: str, b: str, edits: int) -> str:
+    """SQL: the parities of two lines, the second no shorter, differ in no more bits than edits can change.
+
+    A replaced character changes two bits of one and four of low and high, one put in or taken out one and three; as
+    many as the lengths differ by are put in.
+    """
+    bits = lambda *names: " + ".join(f"bit_count({a}.par.{x} ^ {b}.par.{x})" for x in names)
+    return f"{bits('one')} <= {2 * edits} - ({b}.n - {a}.n) and {bits('low', 'high')} <= {4 * edits} - ({b}.n - {a}.n)"
+
+
 def windows(edits: int) -> list[list[list[tuple[int, int]]]]:
     """By segment number i and remainder n % (edits + 1): the pieces of a line to hash, its own segment first.
 
@@ -155,8 +180,8 @@ def edit_links(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
     # By its first place a line is fetched once, however many copies it has; rows of one doc_id may bring it again.
     lines = lines_of(docs.select("doc_id", "text"), 1).select("h1", "h2", "place", "line")
     texts = stash(lines.join(small_or_not(wanted), ["h1", "h2", "place"]).select("id", "line").dropDuplicates(["id"]), "line-texts")
-    signed = stash(hits.join(texts.select("id", signature(F.col("line"), F.length("line")).alias("sig")), "id"), "line-signed")
-    met = signed.where("own").alias("i").join(signed.alias("p"), F.expr(f"i.key = p.key and p.n - i.n between 0 and {edits} and (p.n > i.n or i.id < p.id) and {near_signatures('i.sig', 'p.sig', edits)}"))
+    signed = stash(hits.join(texts.select("id", signature(F.col("line"), F.length("line")).alias("sig"), parities(F.col("line")).alias("par")), "id"), "line-signed")
+    met = signed.where("own").alias("i").join(signed.alias("p"), F.expr(f"i.key = p.key and p.n - i.n between 0 and {edits} and (p.n > i.n or i.id < p.id) and {near_signatures('i.sig', 'p.sig', edits)} and {near_parities('i', 'p', edits)}"))
     pairs = stash(met.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct(), "line-pairs")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
