@@ -152,3 +152,64 @@ def test_query_gives_hexadecimal_fingerprints(spark, tmp_path):
     want = {d: slow(t, 4) for d, t in rows}
     assert len(out) == len(rows) and {r["doc_id"]: r["fingerprint"] for r in out} == {d: f"{x:016x}" for d, x in want.items()}
     assert {r["doc_id"]: r["component_id"] for r in out} == groups(list(want.items()), 4)
+
+
+def close_numbers(seed, n):
+    """Spread numbers, and some 1 to 6 bits from another."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 7), replace=False))) for b in base[:60] for _ in range(8)]
+    return np.unique(np.concatenate([base, np.array([0, 1, 2**63, 2**64 - 1], np.uint64), np.array(near, np.uint64)]))
+
+
+def test_masks_lose_no_link():
+    """However many numbers: two within the radius agree under some mask."""
+    rng = np.random.default_rng(2)
+    for n, radius in ((100, 4), (3_000_000, 4), (10**9, 4), (10**15, 4), (5, 0), (10**6, 1), (100, 9)):
+        masks = simhash.block_masks(n, radius)
+        for _ in range(300):
+            flipped = sum(1 << int(k) for k in rng.choice(64, radius, replace=False))
+            assert any(not flipped & m for m in masks)
+    assert len(simhash.block_masks(100, 4)) == 5 and len(simhash.block_masks(3_000_000, 4)) == 15
+
+
+def test_runs_of_any_length_give_all_links():
+    fps = close_numbers(8, 3000)
+    for n in (1, 2, 63, 64, 65, 1024, 1500, len(fps)):
+        mask = np.arange(len(fps)) // n
+        near = (np.bitwise_count(fps[:, None] ^ fps) <= 4) & (mask[:, None] == mask)
+        got = simhash.run_links(mask, np.zeros(len(fps), np.int64), fps, 4)
+        at = [np.searchsorted(fps, x) for x in got]
+        assert [x.tolist() for x in simhash.forest(*at, len(fps))] == [x.tolist() for x in simhash.forest(*np.nonzero(near), len(fps))]
+
+
+def test_blocks_link_like_brute_force(spark, monkeypatch):
+    """With batches that cut runs, with runs compared whole, and with hot blocks in tiles."""
+    from pyspark.sql import functions as F
+
+    fps = close_numbers(7, 2000)
+    near = np.bitwise_count(fps[:, None] ^ fps) <= 4
+    i, j = simhash.forest(*np.nonzero(near), len(fps))
+    want = {int(x): int(y) for x, y in zip(fps[i].view(np.int64), fps[j].view(np.int64))}
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch, hot in (("10000", 10_000), ("7", 10_000), ("10000", 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        monkeypatch.setattr(simhash, "HOT_KEYS", 1_000 if hot > 3 else 1 << 40)
+        edges = [(r["u"], r["v"]) for r in simhash.near_links(frame, 4).collect()]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+        at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+        i, j = simhash.forest(np.array([at[u] for u, _ in edges]), np.array([at[v] for _, v in edges]), len(fps))
+        assert {int(x): int(y) for x, y in zip(fps[i].view(np.int64), fps[j].view(np.int64))} == want
+    assert simhash.near_links(frame.where(F.lit(False)), 4).count() == 0
+
+
+def test_comparisons_do_not_grow_with_the_square(monkeypatch):
+    """Of 40,000 spread fingerprints under one in 500 pairs is compared."""
+    fps, done, count = close_numbers(9, 40_000), [0], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (done.__setitem__(0, done[0] + x.size), count(x))[1])
+    for k, mask in enumerate(simhash.block_masks(len(fps), 4)):
+        x = fps[np.argsort(fps & np.uint64(mask), kind="stable")]
+        simhash.run_links(np.full(len(x), k), x & np.uint64(mask), x, 4)
+    assert 0 < done[0] < len(fps) ** 2 / 2 / 500

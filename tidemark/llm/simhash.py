@@ -1,11 +1,12 @@
-"""SimHash near-duplicates: fingerprints of word shingles, exact tiled comparison, connected components.
+"""SimHash near-duplicates: fingerprints of word shingles, exact comparison by blocks of bits, connected components.
 
-Fingerprints are made once by Arrow batches (the hash and the bit counts are numpy's and xxhash's). Distinct
-fingerprints are laid into tiles by population count; two tiles are compared only if their counts can differ by the
-radius at most, and inside a pair of tiles blocks are skipped by the counts of both halves. A pair of tiles returns a
-spanning forest of its links, so thousands of copies never become all their pairs and no link of components is lost.
-
-The comparison is exact and so quadratic in distinct fingerprints; the skips lower the constant only.
+Fingerprints are made once by Arrow batches (the hash and the bit counts are numpy's and xxhash's). Fingerprints within
+the radius agree in all but radius of the blocks that the 64 bits are cut into, so distinct ones are sorted by the bits
+under each mask that leaves so many blocks out, and only runs that agree there are compared: all links, without all
+pairs. The number of blocks grows with the number of fingerprints. Runs too long for one task are laid into tiles by
+population count; two tiles are compared only if their counts can differ by the radius at most, and inside a pair of
+tiles blocks are skipped by the counts of quarters. A batch of runs or a pair of tiles returns a spanning forest of its
+links, so thousands of near copies never become all their pairs and no link of components is lost.
 
 `simhash_dedup`, the pipeline's stage, takes SimHashes of 128 bits for candidates only and links what has a Jaccard
 similarity of 0.8 or more on exact shingles, of five words; the four words and the radius of four bits are op6's.
@@ -17,18 +18,22 @@ component's name unless all are null; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+from itertools import chain, combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import components, drop, spread, stash, table
+from tidemark.llm._common import HOT_KEYS, HOT_ROWS, components, drop, spread, stash, table
 
 TILE = 32768
 BLOCK = 1024
 #: Rows of a block that are compared with another block at once.
 STRIP = 64
+#: Spread fingerprints that may be alike under a mask, and the run of these that is compared as a whole.
+RUN, LONG = 512, 64
 
 
 def fingerprint(text: str | None, size: int, seed: int = 42) -> int:
@@ -116,24 +121,86 @@ def links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nda
     return names[i], names[j]
 
 
-def tiled_links(distinct: DataFrame, radius: int) -> DataFrame:
+def block_masks(n: int, radius: int) -> list[int]:
+    """Masks of 64 bits such that numbers within radius bits agree under one of them at least.
+
+    The bits are cut into more blocks than radius, of which that many can differ at most; a mask leaves so many out.
+    More blocks make more and longer masks, so they are as few as keep RUN of n spread numbers alike under a mask.
+    """
+    cut = next((c for c in range(radius + 1, radius + 4) if n >> (c - radius) * (64 // c) <= RUN), radius + 4)
+    blocks = [sum(1 << k for k in range(64 * i // cut, 64 * (i + 1) // cut)) for i in range(cut)]
+    return [sum(x) for x in combinations(blocks, cut - radius)]
+
+
+def run_links(mask: np.ndarray, key: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all links within radius bits inside runs of equal mask and key."""
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])]) if len(x) else np.array([], np.int64)
+    count = np.diff(np.r_[begin, len(x)])
+    us, vs = [], []
+    for k, n in zip(begin[count >= LONG], count[count >= LONG]):
+        run = x[k : k + n] if n <= BLOCK else ordered(x[k : k + n].astype("<u8").tobytes())
+        u, v = links(run, run, True, radius)
+        us.append(u), vs.append(v)
+    left = np.repeat(np.where(count < LONG, begin + count, 0), count) - np.arange(len(x))
+    i = np.flatnonzero(left > 1)
+    for far in range(1, LONG):
+        i = i[left[i] > far]
+        near = i[np.bitwise_count(x[i] ^ x[i + far]) <= radius]
+        us.append(x[near]), vs.append(x[near + far])
+        if not len(i):
+            break
+    u, v = np.concatenate(us), np.concatenate(vs)
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = forest(at[: len(u)], at[len(u) :], len(names))
+    return names[i], names[j]
+
+
+def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     """Edges u, v (longs) that connect all fp of distinct within radius bits of each other."""
     spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").alias("pc"))
-    # At most 65 rows.
-    sizes = {r["pc"]: r["n"] for r in counted.groupBy("pc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return spark.createDataFrame([], "u long, v long")
-    parts = F.element_at(F.create_map(*[F.lit(x) for pc, n in sizes.items() for x in (pc, -(-n // TILE))]), F.col("pc"))
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("long"))
+    n = distinct.count()
+    masks = np.array(block_masks(n, radius), np.uint64).view(np.int64).tolist()
+    each = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
+    keyed = distinct.select("fp", F.explode(each).alias("e")).select("e.mask", "e.key", "fp")
+    bound = max(HOT_ROWS, n * len(masks) // HOT_KEYS)
+    hot = stash(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > bound).select("mask", "key"), "hot-blocks")
+    some = hot.limit(1).count()
+    cold = keyed.join(F.broadcast(hot), ["mask", "key"], "left_anti") if some else keyed
+
+    def compare(batches):
+        kept = pd.DataFrame({"mask": [], "key": [], "fp": []}, dtype=np.int64)
+        for pdf in chain(batches, [None]):
+            now = kept if pdf is None else pd.concat([kept, pdf])
+            mask, key, x = (now[c].to_numpy() for c in ("mask", "key", "fp"))
+            end = len(x)
+            if pdf is not None and end:
+                # The last run may go on in the next batch.
+                others = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
+                end = int(others[-1]) + 1 if len(others) else 0
+            u, v = run_links(mask[:end], key[:end], x[:end].view(np.uint64), radius)
+            kept = now.iloc[end:]
+            yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = cold.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInPandas(compare, "u long, v long")
+    return found.union(tiled_links(keyed.join(F.broadcast(hot), ["mask", "key"]), radius)) if some else found
+
+
+def tiled_links(hot: DataFrame, radius: int) -> DataFrame:
+    """Edges u, v (longs) that connect all fp of the same mask and key within radius bits of each other, by tiles."""
+    spark = hot.sparkSession
+    counted = hot.select("mask", "key", "fp", F.bit_count("fp").alias("pc"))
+    # At most 65 rows for each of HOT_KEYS.
+    sizes = counted.groupBy("mask", "key", "pc").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counted.join(F.broadcast(sizes), ["mask", "key", "pc"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE)).cast("long"))
 
     def tile(key, pdf):
-        return pd.DataFrame({"pc": [key[0]], "part": [key[1]], "blob": [ordered(np.sort(pdf["fp"].to_numpy()).astype("<i8").tobytes()).tobytes()]})
+        return pd.DataFrame({"mask": [key[0]], "key": [key[1]], "pc": [key[2]], "part": [key[3]], "blob": [ordered(np.sort(pdf["fp"].to_numpy()).astype("<i8").tobytes()).tobytes()]})
 
-    tiles = stash(dealt.groupBy("pc", "part").applyInPandas(tile, "pc int, part long, blob binary"), "tiles")
-    left = tiles.select(F.col("pc").alias("pc_a"), F.col("part").alias("part_a"), F.col("blob").alias("a"), F.explode(F.array(*[F.col("pc") + k for k in range(radius + 1)])).alias("pc"))
-    right = tiles.select("pc", F.col("part").alias("part_b"), F.col("blob").alias("b"))
-    pairs = left.join(right, "pc").where("pc > pc_a or part_b >= part_a").select("a", "b", ((F.col("pc") == F.col("pc_a")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
+    tiles = stash(dealt.groupBy("mask", "key", "pc", "part").applyInPandas(tile, "mask int, key long, pc int, part long, blob binary"), "tiles")
+    left = tiles.select("mask", "key", F.col("pc").alias("pc_a"), F.col("part").alias("part_a"), F.col("blob").alias("a"), F.explode(F.array(*[F.col("pc") + k for k in range(radius + 1)])).alias("pc"))
+    right = tiles.select("mask", "key", "pc", F.col("part").alias("part_b"), F.col("blob").alias("b"))
+    pairs = left.join(right, ["mask", "key", "pc"]).where("pc > pc_a or part_b >= part_a").select("a", "b", ((F.col("pc") == F.col("pc_a")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
@@ -149,7 +216,7 @@ def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame
     """doc_id, fp, component_id of every row: the smallest doc_id that links of at most radius bits reach."""
     marked = stash(fingerprints(docs, size), "fingerprints")
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
-    found = components(tiled_links(distinct, radius), "simhash")
+    found = components(near_links(distinct, radius), "simhash")
     of = stash(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("c")), "of")
     name = stash(of.groupBy("c").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
     told = stash(spread(of.select("fp", "copies", "c"), name, ["c"], "members").select("fp", "copies", "component_id"), "told")
