@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.helpers import WORDS, empty_docs, odd_docs, text
-from tidemark.llm import mixing, packing, registry
+from tests.llm.test_line_dedup import brute
+from tidemark.llm import line_dedup, mixing, packing, registry
 
 
 def run(spark, docs, tmp_path):
@@ -125,3 +126,15 @@ def test_run_against_brute_force(spark, tmp_path):
     assert len(sequences) <= len(rooms)
     heads = [place[r["doc_id"]] for r in sorted(out, key=lambda r: r["sequence_id"]) if r["offset"] == 0]
     assert heads == sorted(heads)
+
+
+def test_the_line_stage_verifies_few_pairs_of_near_copies(spark, monkeypatch):
+    """Lines that share segments but are mostly four to eight edits apart: hardly a pair is verified, the right ones fall."""
+    r, base = random.Random(4), text(4, 50)[:45]
+    docs = [(k, base[:at] + "".join(r.choice("bcdfgklmpuvwy") for _ in range(4)) + base[at:]) for k, at in enumerate(r.choices(range(8), k=90))]
+    met, kept = {}, line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: met.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(line_dedup, "drop", lambda *dfs: None)
+    out = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(map(tuple, out.select("doc_id", "text").collect())) == [(d, x if v[3] else "") for (d, x), v in zip(docs, brute(docs, 2, 6).values())]
+    assert met["line-pairs"].count() <= 1000
