@@ -177,17 +177,28 @@ def drop_dangling_opener(text: Column) -> Column:
 
 def first_sentences(text: Column, count: int, most: int) -> Column:
     """The first sentences, at most so long; periods of initials, decimals and abbreviations end none."""
-    out = trim(F.coalesce(text, F.lit("")))
-    masked = sub(out, r"\b([A-Za-z])\.", "$1\u0001")
-    masked = F.regexp_replace(masked, r"([0-9])\.(?=[0-9])", "$1\u0001")
-    masked = sub(masked, r"(?i)\b(" + "|".join(rules.ABBREVIATIONS) + r")\.", "$1\u0001")
+    words = "|".join(rules.ABBREVIATIONS)
+    # A stretch is text up to a mark that may end it; those that no space follows belong to no sentence.
+    stretch = rf"(?:[^.!?]++|\.(?:(?<=(?<!\w)[A-Za-z]\.)|(?<=[0-9]\.)(?=[0-9])|(?<=(?<!\w)(?i:{words})\.)))++"
+    sentence = rf"[.!?]*+(?:{stretch}[.!?]++(?![{SPACES}]|\z))*+{stretch}(?:[.!?]++|\z)"
+
+    def read(head: Column) -> Column:
+        masked = sub(head, r"\b([A-Za-z])\.", "$1\u0001")
+        masked = F.regexp_replace(masked, r"([0-9])\.(?=[0-9])", "$1\u0001")
+        masked = sub(masked, rf"(?i)\b({words})\.", "$1\u0001")
+        return F.replace(trim(collapse(let(masked, joined))), F.lit("\u0001"), F.lit("."))
 
     def joined(m: Column) -> Column:
-        parts = F.regexp_extract_all(m, F.lit(pattern(r"[^.!?]+[.!?]+(?=\s|$)|[^.!?]+$")), F.lit(0))
+        parts = F.regexp_extract_all(m, F.lit(rf"(?<![^.!?])[^.!?]++(?:[.!?]++(?=[{SPACES}]|\z)|\z)"), F.lit(0))
         return F.array_join(F.slice(F.when(F.size(parts) > 0, parts).otherwise(F.array(m)), 1, count), " ")
 
-    whole = F.replace(trim(sub(let(masked, joined), r"\s+", " ")), F.lit("\u0001"), F.lit("."))
-    return F.when(out == "", "").otherwise(drop_dangling_opener(truncate(drop_dangling_closer(whole), most)))
+    def first(out: Column) -> Column:
+        # Where the last sentence wanted ends, reading may stop; a text of fewer is read whole.
+        head = F.regexp_extract(out, rf"\A(?:{sentence}){{{count}}}+", 0)
+        whole = read(let(head, lambda h: F.when(h == "", out).otherwise(h)))
+        return F.when(out == "", "").otherwise(drop_dangling_opener(truncate(drop_dangling_closer(whole), most)))
+
+    return let(trim(F.coalesce(text, F.lit(""))), first)
 
 
 def stem(word: Column) -> Column:
