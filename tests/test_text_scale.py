@@ -38,6 +38,7 @@ COSTS = {
     "strip_html": (lambda df: df.select(T.strip_html(F.col("x"))), 7.0),  # 11.2 before, 4.3 after
     "pages": (lambda df: df.select(T.strip_html(F.col("page"))), 3.6),  # 5.9, 2.2
     "first_sentences": (lambda df: df.select(T.first_sentences(F.col("x"), 2, 260)), 2.2),  # 6.1, 0.8
+    "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
 }
 
 
@@ -59,3 +60,9 @@ def test_first_sentences_of_a_long_word(spark):
     t = time.perf_counter()
     assert of(spark, lambda c: T.first_sentences(c, 2, 260), "a" * 400000 + ".b ends. " + "Then comes more. " * 3) == ["b ends. Then comes more."]
     assert time.perf_counter() - t < 30
+
+
+def test_tokens_are_stems_of_words(spark):
+    texts = ["exceeding ties studies glasses classes boxes buses analysis being ringing need needed used house series sses gas 12 123 1234 a1b2ies"]
+    kept = [w for w in texts[0].split() if len(w) >= 3 and w not in T.rules.STOPWORDS and not (len(w) == 3 and w.isdigit())]
+    assert of(spark, T.tokenize, *texts)[0] == of(spark, T.stem, *kept)

@@ -222,8 +222,18 @@ def _stop(word: Column) -> Column:
 def tokenize(text: Column, stripped: bool = False) -> Column:
     """Stems of the words of three letters or more that carry a topic, in order, repeats included."""
     plain = text if stripped else strip_html(text)
-    raw = F.split(F.regexp_replace(F.regexp_replace(F.lower(plain), "[‘’']", ""), "[^a-z0-9-]", " "), "[ -]+")
-    return F.transform(F.filter(raw, lambda w: (F.length(w) >= 3) & ~_stop(w) & ~w.rlike("^[0-9]{3}$")), stem)
+    bare = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), "‘’'", F.lower(plain))
+    number = lambda w: (F.length(w) == 3) & (w < ":") & w.rlike("^[0-9]{3}$")
+    kept = F.filter(F.split(bare, "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~_stop(w) & ~number(w))
+    return let(F.array_join(kept, " "), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(_stems(x), " ")))
+
+
+def _stems(words: Column) -> Column:
+    """stem of each of the words, of a to z and digits with a blank between: by patterns over all of them at once."""
+    out = F.regexp_replace(words, r"ies(?= |\z)(?<=[^ ]{2}ies)", "y")
+    out = F.regexp_replace(out, r"(?:s(?= |\z)(?<=[^ ]{3}s)(?<![sui]s)|es(?= |\z)(?<=sses))", "")
+    out = F.regexp_replace(out, r"(?:ing(?= |\z)(?<=[^ ]{4}ing)|ed(?= |\z)(?<=[^ ]{4}ed))", "")
+    return F.regexp_replace(out, r"e(?= |\z)(?<=[^ ]{4}e)", "")
 
 
 def without_quotes(text: Column) -> Column:
