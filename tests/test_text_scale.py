@@ -39,6 +39,7 @@ COSTS = {
     "pages": (lambda df: df.select(T.strip_html(F.col("page"))), 3.6),  # 5.9, 2.2
     "first_sentences": (lambda df: df.select(T.first_sentences(F.col("x"), 2, 260)), 2.2),  # 6.1, 0.8
     "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
+    "title_case": (lambda df: df.select(T.is_title_case(F.col("x"))), 10.0),  # 18.5, 5.7
 }
 
 
