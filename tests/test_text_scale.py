@@ -40,6 +40,7 @@ COSTS = {
     "first_sentences": (lambda df: df.select(T.first_sentences(F.col("x"), 2, 260)), 2.2),  # 6.1, 0.8
     "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
     "title_case": (lambda df: df.select(T.is_title_case(F.col("x"))), 10.0),  # 18.5, 5.7
+    "entities": (lambda df: df.select(T.entities(F.col("x"))), 11.0),  # 20.1, 6.1
 }
 
 
@@ -56,6 +57,11 @@ def test_spaces_before_a_last_mark_of_unicode_stay(spark):
     assert of(spark, T.trim, "x \x85", " x﻿", None) == ["x \x85", "x", None]
 
 
+def test_entities_of_a_long_run(spark):
+    names = "Ann " * 60000
+    assert of(spark, T.entities, "x. " + "it is so " * 40000 + names + "end")[0][-1] == "ann"
+
+
 def test_first_sentences_of_a_long_word(spark):
     # Quadratic before: each place in the word was tried as a beginning.
     t = time.perf_counter()

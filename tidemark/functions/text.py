@@ -261,17 +261,17 @@ def is_title_case(text: Column, stripped: bool = False) -> Column:
 
 def entities(text: Column, stripped: bool = False) -> Column:
     """Names, in lower case: runs of capitalised words and their words; of a title in title case, its acronyms."""
-    word = r"[A-Z][A-Za-z0-9_'&.-]*"
-    run = rf"\b({word}(?:\s+(?:and|de|del|der|of|the|van|von)\s+{word}|\s+{word})*)"
+    word = r"[A-Z][\w'&.-]*+"
+    # Possessive, as nothing follows: a run of any length needs no stack.
+    run = rf"(?=[A-Z])(?<!\w)({word}(?: (?:(?:and|de|del|der|of|the|van|von) )?+{word})*+)"
 
-    def of_run(p: Column) -> Column:
-        norm = F.lower(trim(p))
+    def of_run(norm: Column) -> Column:
         good = lambda w: (F.length(w) >= 3) & ~_stop(w)
-        return F.concat(F.filter(F.array(norm), good), F.when(p.contains(" "), F.filter(F.split(norm, f"[{SPACES}]+"), good)).otherwise(F.array().cast("array<string>")))
+        return F.filter(F.when(norm.contains(" "), F.concat(F.array(norm), F.split(norm, " "))).otherwise(F.array(norm)), good)
 
     def found(plain: Column) -> Column:
         acronyms = F.filter(F.transform(F.regexp_extract_all(plain, F.lit(pattern(r"\b[A-Z][A-Z0-9]{1,5}\b")), F.lit(0)), F.lower), lambda a: ~_stop(a))
-        runs = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(pattern(run)), F.lit(1)), of_run))
+        runs = F.flatten(F.transform(F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(run), F.lit(1)), F.lower)), of_run))
         return F.array_distinct(F.when(is_title_case(plain, True), acronyms).otherwise(runs))
 
     return let(text if stripped else strip_html(text), found)
