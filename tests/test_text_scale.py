@@ -37,6 +37,7 @@ def words(x):
 COSTS = {
     "strip_html": (lambda df: df.select(T.strip_html(F.col("x"))), 7.0),  # 11.2 before, 4.3 after
     "pages": (lambda df: df.select(T.strip_html(F.col("page"))), 3.6),  # 5.9, 2.2
+    "clean_description": (lambda df: df.select(T.clean_description(F.col("x"))), 7.6),  # 15.2, 3.8
     "first_sentences": (lambda df: df.select(T.first_sentences(F.col("x"), 2, 260)), 2.2),  # 6.1, 0.8
     "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
     "title_case": (lambda df: df.select(T.is_title_case(F.col("x"))), 10.0),  # 18.5, 5.7
@@ -73,3 +74,8 @@ def test_tokens_are_stems_of_words(spark):
     texts = ["exceeding ties studies glasses classes boxes buses analysis being ringing need needed used house series sses gas 12 123 1234 a1b2ies"]
     kept = [w for w in texts[0].split() if len(w) >= 3 and w not in T.rules.STOPWORDS and not (len(w) == 3 and w.isdigit())]
     assert of(spark, T.tokenize, *texts)[0] == of(spark, T.stem, *kept)
+
+
+def test_every_boilerplate_sign_is_in_its_match(spark):
+    said = ["One. Continue reading here", "One. READ MORE: ", "One. The post x appeared first on y", "One […]", "One appeared first on x", "by Ann Lee | One", "One click here now", "One subscribe to us", "One. Sign up for all", "One photo: x", "(AFP) - One"]
+    assert [x.strip(" .") for x in of(spark, T.clean_description, *said)] == ["One"] * len(said)

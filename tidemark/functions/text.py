@@ -125,6 +125,11 @@ def strip_html(text: Column) -> Column:
     return trim(F.regexp_replace(out, r" (?:(?=[,.;:!?%)\]]|['’](?i:d|ll|re|s|t|ve)(?!\w))|(?<=[(\[] ))", ""))
 
 
+def _says(lowered: Column, signs: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds one of signs: tested far faster than the patterns that need one."""
+    return reduce(lambda a, b: a | b, [lowered.contains(x) for x in signs])
+
+
 def clean_description(text: Column) -> Column:
     """strip_html without what feeds add; of each addition the first goes."""
 
@@ -132,7 +137,16 @@ def clean_description(text: Column) -> Column:
         # Patterns with an anchor match once at most; the others are made to by taking what precedes along.
         return sub(t, p, " ") if p.startswith("^") or p.endswith("$") else F.regexp_replace(t, r"(?s)\A(.*?)" + pattern(p) + r"(.*)\z", "$1 $2")
 
-    return trim(sub(reduce(first, rules.BOILERPLATE, strip_html(text)), r"\s+", " "))
+    def less(t: Column) -> Column:
+        steps = rules.BOILERPLATE.items()
+        out = reduce(lambda x, ps: let(x, lambda y: F.when(_says(F.lower(y), ps[1]), first(y, ps[0])).otherwise(y)), steps, t)
+        signs = tuple(x for p, xs in steps if not p.startswith("^") for x in xs)
+        # What is anchored to the start of a stripped text starts it; without any sign nothing goes.
+        starts = [t.startswith(x) for p, xs in steps if p.startswith("^") for x in xs]
+        some = reduce(lambda a, b: a | b, starts, let(F.lower(t), lambda low: _says(low, signs)))
+        return F.when(some, trim(collapse(out))).otherwise(t)
+
+    return let(strip_html(text), less)
 
 
 def truncate(text: Column, most: int) -> Column:
