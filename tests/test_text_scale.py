@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import topics
 from tests.test_operators import of
 
 PROSE = "The council of Ministers met on Monday, and said that rivers 'will not wait' for another studies; the Harbour tunnel needed\nmore time. Prices in St. Ives rose by 2.5 per cent (they said) – it ’s the “plainest” of all reasons to keep on walking home.\n"
@@ -33,6 +34,11 @@ def words(x):
     return F.size(F.split(x, "[^a-z0-9]+"))
 
 
+def evidence(df):
+    rows = df.select(F.lit("t").alias("title"), F.col("x").alias("description"), F.lit("").alias("link"), F.lit("").alias("topic_hint"), F.array().cast("array<string>").alias("categories"))
+    return topics.topic_evidence(rows).select(*[f"score_{t}" for t in topics.SPECIALIST])
+
+
 #: Scans that each may cost: between what was measured before and after.
 COSTS = {
     "strip_html": (lambda df: df.select(T.strip_html(F.col("x"))), 7.0),  # 11.2 before, 4.3 after
@@ -42,6 +48,7 @@ COSTS = {
     "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
     "title_case": (lambda df: df.select(T.is_title_case(F.col("x"))), 10.0),  # 18.5, 5.7
     "entities": (lambda df: df.select(T.entities(F.col("x"))), 11.0),  # 20.1, 6.1
+    "topic_evidence": (evidence, 10.0),  # 19.6, 5.0
 }
 
 
@@ -76,6 +83,13 @@ def test_tokens_are_stems_of_words(spark):
     assert of(spark, T.tokenize, *texts)[0] == of(spark, T.stem, *kept)
 
 
+def test_phrases_hold_all_keywords(spark):
+    text = "AI and air. Tech company stock market, large language model wall street; climate change crisis, gene-genome cells aid nanometres"
+    plain = [of(spark, lambda c: topics.keyword_hits(c, t), text) for t in topics.SPECIALIST]
+    assert [of(spark, lambda c: topics.keyword_hits(topics.phrases(c), t), text) for t in topics.SPECIALIST] == plain
+    assert of(spark, topics.phrases, "Nothing of this is said in plain air", "") == ["", ""]
+
+
 def test_every_boilerplate_sign_is_in_its_match(spark):
     said = ["One. Continue reading here", "One. READ MORE: ", "One. The post x appeared first on y", "One […]", "One appeared first on x", "by Ann Lee | One", "One click here now", "One subscribe to us", "One. Sign up for all", "One photo: x", "(AFP) - One"]
     assert [x.strip(" .") for x in of(spark, T.clean_description, *said)] == ["One"] * len(said)

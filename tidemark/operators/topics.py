@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,14 +15,38 @@ from tidemark.functions.urls import url_path
 SPECIALIST = rules.SPECIALIST
 
 
-def keyword_hits(text: Column, topic: str) -> Column:
-    """How many groups of the topic's words a plain text holds.
+def _firsts() -> tuple[str, str, int]:
+    """Of the words that any keyword begins with the first letters and a pattern; and the most words of a keyword."""
+    firsts, most = set(), 1
+    for p in (p for ps in rules.KEYWORDS.values() for p in ps):
+        body = re.fullmatch(r"(?:\(\?-i\))?\\b\(\?:(.*)\)\\b", p)[1]
+        for one in re.findall(r"(?:\(\?:[^()]*\)|[^|()])+", body):
+            firsts.add(re.match(r"[a-z]{2}[a-z?]*(?:\\w\*)?", one.lower())[0])
+            most = max(most, 1 + one.count(" "))
+    tree: dict[str, dict[str, list[str]]] = {}
+    for w in sorted(firsts):
+        tree.setdefault(w[0], {}).setdefault(w[1], []).append(w[2:])
+    branch = lambda heads: "|".join(f"{h}(?:{'|'.join(tails)})" for h, tails in heads.items())
+    return "".join(tree), branch({a: [branch(more)] for a, more in tree.items()}), most
+
+
+INITIALS, FIRSTS, MOST_WORDS = _firsts()
+
 
-    One scan for any word of any group comes first, as most texts have none.
+def phrases(text: Column) -> Column:
+    """What a plain text has in place of keywords: wherever a word begins one, it and the words after it, one a line.
+
+    One scan for all topics; a keyword is in the text if and only if it is in this, which is mostly empty.
     """
+    p = rf"(?i)(?=[{INITIALS}])(?<!\w)(?=(?:{FIRSTS})(?!\w))(?=(\w++(?: \w++){{0,{MOST_WORDS - 1}}}+))\w++"
+    found = F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    return F.array_join(F.array_distinct(found), "\n")
+
+
+def keyword_hits(text: Column, topic: str) -> Column:
+    """How many groups of the topic's words a plain text holds, or the phrases of one."""
     groups = lambda t: reduce(lambda a, b: a + b, [F.when(matches(t, p), 1).otherwise(0) for p in rules.KEYWORDS[topic]])
-    some = "|".join(f"(?:{p})" for p in rules.KEYWORDS[topic]).replace("(?-i)", "")
-    return let(text, lambda t: F.when(matches(t, some), groups(t)).otherwise(0))
+    return let(text, lambda t: F.when(t != "", groups(t)).otherwise(0))
 
 
 def provenance(topic: str, hint: Column, path: Column, categories: Column) -> Column:
@@ -36,7 +61,7 @@ def provenance(topic: str, hint: Column, path: Column, categories: Column) -> Co
 
 def topic_evidence(items: DataFrame) -> DataFrame:
     """items (title, description, link, topic_hint, categories) with prov_, hits_ and score_ of each specialist topic."""
-    out = items.withColumn("_text", F.concat_ws(" ", strip_html(F.col("title")), strip_html(F.col("description")))).withColumn("_path", url_path(F.coalesce("link", F.lit(""))))
+    out = items.withColumn("_text", phrases(F.concat_ws(" ", strip_html(F.col("title")), strip_html(F.col("description"))))).withColumn("_path", url_path(F.coalesce("link", F.lit(""))))
     for t in SPECIALIST:
         out = out.withColumn(f"prov_{t}", provenance(t, F.coalesce("topic_hint", F.lit("")), F.col("_path"), F.col("categories"))).withColumn(f"hits_{t}", keyword_hits(F.col("_text"), t))
     for t in SPECIALIST:
@@ -81,7 +106,7 @@ def reconciled(topic: Column, headline: Column, hits: Column) -> Column:
 
 def explained(votes: DataFrame, headline: str = "headline") -> DataFrame:
     """votes joined with the headline: topic, coverage_topic, reconciled (what changed, or null), share."""
-    heard = let(strip_html(F.col(headline)), lambda x: F.struct(*[keyword_hits(x, t).alias(t) for t in SPECIALIST]))
+    heard = let(phrases(strip_html(F.col(headline))), lambda x: F.struct(*[keyword_hits(x, t).alias(t) for t in SPECIALIST]))
     out = votes.withColumns({"coverage_topic": coverage_topic(), "_hits": heard})
     out = out.withColumn("topic", reconciled(F.col("coverage_topic"), F.col(headline), F.col("_hits"))).drop("_hits")
     change = F.when(F.col("topic") != F.col("coverage_topic"), F.concat_ws(" ", "coverage_topic", F.lit("->"), "topic", F.lit("by headline")))
