@@ -48,6 +48,7 @@ COSTS = {
     "tokenize": (lambda df: df.select(T.tokenize(F.col("x"))), 10.0),  # 16.8, 5.9
     "title_case": (lambda df: df.select(T.is_title_case(F.col("x"))), 10.0),  # 18.5, 5.7
     "entities": (lambda df: df.select(T.entities(F.col("x"))), 11.0),  # 20.1, 6.1
+    "opinion_score": (lambda df: df.select(T.opinion_score(F.col("x"))), 7.0),  # 10.4, 4.6
     "topic_evidence": (evidence, 10.0),  # 19.6, 5.0
 }
 
