@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import topics
+from tidemark.sources import feeds
 from tests.test_operators import of
 
 PROSE = "The council of Ministers met on Monday, and said that rivers 'will not wait' for another studies; the Harbour tunnel needed\nmore time. Prices in St. Ives rose by 2.5 per cent (they said) – it ’s the “plainest” of all reasons to keep on walking home.\n"
@@ -94,3 +95,9 @@ def test_phrases_hold_all_keywords(spark):
 def test_every_boilerplate_sign_is_in_its_match(spark):
     said = ["One. Continue reading here", "One. READ MORE: ", "One. The post x appeared first on y", "One […]", "One appeared first on x", "by Ann Lee | One", "One click here now", "One subscribe to us", "One. Sign up for all", "One photo: x", "(AFP) - One"]
     assert [x.strip(" .") for x in of(spark, T.clean_description, *said)] == ["One"] * len(said)
+
+
+def test_feed_with_marks_inside(spark):
+    xml = "<rss><item><title>a <b>b</b> &lt;c&gt;</title><link>https://a.com/1</link><category>x < y</category><pubDate>30 Jan 2024 06:05 +0200</pubDate></item><item><title>open</item></rss>"
+    got = feeds.parse_feeds(spark.createDataFrame([("f", xml)], "source_id string, xml string")).collect()
+    assert [(r["title"], r["link"], r["categories"], str(r["published"])) for r in got] == [("a b", "https://a.com/1", ["x < y"], "2024-01-30 04:05:00")]

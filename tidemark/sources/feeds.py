@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import decode_entities, strip_html, trim
+from tidemark.functions.text import decode_entities, let, strip_html, trim
 from tidemark.functions.urls import clean_url
 
 REGISTRY = "id string, name string, lean string, wire boolean, url string, outlet string, topic string, note string"
@@ -30,13 +30,15 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_id"), F.col("value").alias("xml"))
 
 
-def tag(xml: Column, *names: str) -> Column:
-    """The content of the first of these tags, in the order of names, that isn't blank; CDATA unwrapped; else empty."""
+def element(name: str) -> str:
+    """A pattern of an element and, as group 1, its content, which goes from one < to the next."""
+    return rf"(?i)<{name}(?:\s[^>]*+)?+>((?:[^<]++|<(?!/{name}>))*+)</{name}>"
 
-    def one(name: str) -> Column:
-        body = F.regexp_extract(xml, rf"(?is)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>", 1)
-        return F.nullif(trim(F.when(body.rlike(r"(?s)<!\[CDATA\[.*?\]\]>"), F.regexp_extract(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)).otherwise(body)), F.lit(""))
 
+def tag(xml: Column, *names: str) -> Column:
+    """The content of the first of these tags, in the order of names, that isn't blank; CDATA unwrapped; else empty."""
+    bare = lambda body: trim(F.when(body.rlike(r"(?s)<!\[CDATA\[.*?\]\]>"), F.regexp_extract(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)).otherwise(body))
+    one = lambda name: let(let(F.regexp_extract(xml, element(rf"(?:\w+:)?{name}"), 1), bare), lambda x: F.when(x != "", x))
     return F.coalesce(*map(one, names), F.lit(""))
 
 
@@ -51,31 +53,32 @@ def atom_link(xml: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """RFC 822 and ISO 8601 instants, with or without weekday, seconds and zone (UTC then); else null."""
-    bare = F.regexp_replace(trim(text), r"^[A-Za-z]{3,9},\s*", "")
     zones = {"(?:GMT|UTC?|Z)": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+    bare = F.regexp_replace(trim(text), r"^[A-Za-z]{3,9},\s*", "")
     for name, offset in zones.items():
         bare = F.regexp_replace(bare, rf"(?i)(?<=[0-9\s]){name}$", offset)
     bare = F.regexp_replace(bare, r"([+-][0-9]{2}):([0-9]{2})$", "$1$2")
     bare = F.regexp_replace(bare, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ T]([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)(?:\.[0-9]+)?\s*", "$1 $2 ")
-    bare = F.when(bare.rlike(r"[+-][0-9]{4}$") & bare.contains(":"), bare).when(bare.contains(":"), F.concat(trim(bare), F.lit(" +0000"))).otherwise(F.concat(bare, F.lit(" 00:00 +0000")))
+    # Read many times below, so named.
+    bare = let(bare, lambda b: F.when(b.rlike(r"[+-][0-9]{4}$") & b.contains(":"), b).when(b.contains(":"), F.concat(trim(b), F.lit(" +0000"))).otherwise(F.concat(b, F.lit(" 00:00 +0000"))))
     bare = F.regexp_replace(F.regexp_replace(bare, r"\s*([+-][0-9]{4})$", " $1"), r"\s+", " ")
     forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd HH:mm:ss Z", "yyyy-MM-dd HH:mm Z"]
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
+    return let(bare, lambda b: F.coalesce(*[F.try_to_timestamp(b, F.lit(f)) for f in forms]))
 
 
 def parse_feeds(raw: DataFrame, xml: str = "xml") -> DataFrame:
     """The entries of feed documents, RSS items before Atom entries: the other columns of raw, item_ix, title, link,
     description, published, categories. Entries without a title are left out; a broken block costs only itself."""
     others = [c for c in raw.columns if c != xml]
-    blocks = lambda name: F.regexp_extract_all(F.col(xml), F.lit(rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>"), F.lit(1))
+    blocks = lambda name: F.regexp_extract_all(F.col(xml), F.lit(element(name)), F.lit(1))
     each = raw.select(*others, F.posexplode(F.concat(blocks("item"), blocks("entry"))).alias("item_ix", "block"))
     b = F.col("block")
-    bodies = F.regexp_extract_all(b, F.lit(r"(?is)<(?:\w+:)?category(?:\s[^>]*)?>(.*?)</(?:\w+:)?category>"), F.lit(1))
+    bodies = F.regexp_extract_all(b, F.lit(element(r"(?:\w+:)?category")), F.lit(1))
     link = tag(b, "link", "guid", "id")
     out = each.select(
         *others, "item_ix",
         strip_html(tag(b, "title")).alias("title"),
-        clean_url(F.when(link != "", link).otherwise(atom_link(b))).alias("link"),
+        clean_url(let(link, lambda x: F.when(x != "", x).otherwise(atom_link(b)))).alias("link"),
         tag(b, "description", "summary", "subtitle", "encoded", "content").alias("description"),
         parse_date(tag(b, "pubDate", "published", "updated", "date", "created")).alias("published"),
         F.filter(F.transform(bodies, strip_html), lambda c: c != "").alias("categories"),
